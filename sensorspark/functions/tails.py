@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 20) -> Column:
@@ -89,12 +90,12 @@ def _chi_square_upper(x: float, df: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(_normal_two_sided, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else _student_two_sided(a, b) for a, b in zip(t, df)],
@@ -102,7 +103,7 @@ def student_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else _chi_square_upper(a, b) for a, b in zip(x, df)],

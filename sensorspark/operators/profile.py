@@ -21,7 +21,9 @@ from sensorspark.functions.ordering import (
 from sensorspark.operators.clean import prj_calendar_parts, prj_day_type
 from sensorspark.schema import LOCAL_TIME_ZONE, ROLES, Roles
 
-ROWS = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -43,7 +45,7 @@ def agg_ingest_check(
     n = F.col("n_rows")
     return (
         fresh.agg(
-            ROWS.alias("n_rows"),
+            n_rows().alias("n_rows"),
             F.min(ingestion_ts).alias("first_ingestion"),
             F.max(ingestion_ts).alias("last_ingestion"),
             F.min(roles.ts).alias("first_reading"),
@@ -63,7 +65,7 @@ def agg_freshness_check(
     """Rows of the last days with their first and last time; ``failed`` when there are none."""
     recent = df.where(F.col(roles.ts) >= ts_of(now) - F.expr(f"INTERVAL {days} DAYS"))
     return recent.agg(
-        ROWS.alias("n_rows"), F.min(roles.ts).alias("first_ts"), F.max(roles.ts).alias("last_ts")
+        n_rows().alias("n_rows"), F.min(roles.ts).alias("first_ts"), F.max(roles.ts).alias("last_ts")
     ).withColumn("status", F.when(F.col("n_rows") == 0, "failed").otherwise("ok"))
 
 
@@ -73,7 +75,7 @@ def agg_prediction_check(
     """Count and range of stored predictions with the flags mismatch, no rows, negative value."""
     exp = expected if isinstance(expected, Column) else F.lit(expected)
     return df.agg(
-        ROWS.alias("n_rows"),
+        n_rows().alias("n_rows"),
         F.avg(col).alias("avg_prediction"),
         F.min(col).alias("min_prediction"),
         F.max(col).alias("max_prediction"),
@@ -144,7 +146,7 @@ def describe_difference(described: DataFrame, side: str, a: str, b: str) -> Data
 
 
 def _mean_by(df: DataFrame, by: Sequence[str], roles: Roles) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(roles.value).alias("mean_count"), ROWS.alias("n_rows"))
+    return df.groupBy(*by).agg(F.avg(roles.value).alias("mean_count"), n_rows().alias("n_rows"))
 
 
 def agg_mean_by_weekday(df: DataFrame, tz: str = LOCAL_TIME_ZONE, roles: Roles = ROLES) -> DataFrame:
@@ -183,9 +185,9 @@ def agg_sensor_pivot(df: DataFrame, sensors: Sequence, roles: Roles = ROLES) ->
 
 def agg_key_distribution(df: DataFrame, rare_below: int = 10, roles: Roles = ROLES) -> DataFrame:
     """Rows per sensor: number of sensors, min, max, mean, exact median, rare sensors."""
-    counts = df.groupBy(roles.sensor).agg(ROWS.alias("rows_of_key"))
+    counts = df.groupBy(roles.sensor).agg(n_rows().alias("rows_of_key"))
     # Sensors with equal row counts collapse, so the median works on distinct counts.
-    sizes = counts.groupBy(F.col("rows_of_key").alias("x")).agg(ROWS.alias("n"))
+    sizes = counts.groupBy(F.col("rows_of_key").alias("x")).agg(n_rows().alias("n"))
     points = [float(2**i) for i in range(0, 48)]  # row counts spread over orders of magnitude
     ranked = running(with_bucket(sizes, "x", points), [], "x", measures={"cum": ("sum", F.col("n"))})
     x, n = F.col("x"), F.col("n")
@@ -205,7 +207,7 @@ def agg_period_profile(df: DataFrame, source_col: str = "source", roles: Roles =
 
     Rows are first reduced to (source, sensor); the totals are rolled up from those."""
     per = df.groupBy(F.col(source_col).alias("source"), F.col(roles.sensor).alias("s")).agg(
-        ROWS.alias("n"),
+        n_rows().alias("n"),
         F.count(F.when(F.col(roles.value) > 0, 1)).alias("v"),
         F.min(roles.ts).alias("lo"),
         F.max(roles.ts).alias("hi"),
@@ -278,7 +280,7 @@ def agg_null_dup_profile(df: DataFrame) -> DataFrame:
     """Share of nulls of each column that has any (ascending), and the number of rows that repeat
     an earlier one in ``duplicate_rows``."""
     # Copies collapse once; nulls are then counted with their multiplicity.
-    distinct = df.groupBy(*df.columns).agg(ROWS.alias("__n"))
+    distinct = df.groupBy(*df.columns).agg(n_rows().alias("__n"))
     n = F.col("__n")
     one = distinct.agg(
         F.sum(n).alias("__rows"),
@@ -310,7 +312,7 @@ def agg_duplicates(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row."""
     return (
         df.groupBy(*df.columns)
-        .agg(ROWS.alias("__n"))
+        .agg(n_rows().alias("__n"))
         .agg(
             F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
             F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -323,7 +325,7 @@ def agg_value_quality(df: DataFrame, roles: Roles = ROLES) -> DataFrame:
     v = F.col(roles.value)
     pos = F.when(v > 0, v)
     return df.agg(
-        ROWS.alias("n_rows"),
+        n_rows().alias("n_rows"),
         F.count(F.when(v.isNull(), 1)).alias("null_values"),
         F.count(F.when(v == 0, 1)).alias("zero_values"),
         F.count(pos).alias("positive_values"),
@@ -359,7 +361,7 @@ def agg_histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int =
         .select("e.*")
         .where(F.col("bin").isNotNull())
         .groupBy("column", "bin", "lo", "hi")
-        .agg(ROWS.alias("n_rows"))
+        .agg(n_rows().alias("n_rows"))
         .select(
             "column", "bin", (F.col("lo") + width * F.col("bin")).alias("bin_start"), "n_rows"
         )
@@ -429,7 +431,7 @@ def agg_run_durations(
         F.max("x").alias("max_duration_s"),
         *quantile_columns({"median_duration_s": 0.5}),
     )
-    return runs.groupBy(*by).agg(ROWS.alias("n_runs")).join(timed, list(by), "left")
+    return runs.groupBy(*by).agg(n_rows().alias("n_runs")).join(timed, list(by), "left")
 
 
 def agg_kv_pivot(kv: DataFrame, keys: Sequence[str], run: str = "run_id") -> DataFrame:
@@ -454,7 +456,7 @@ def agg_http_rollup(
         keys.append(F.window(ts, window).getField("start").alias("window_start"))
     bounds = [*buckets, float("inf")]
     grouped = log.groupBy(*keys).agg(
-        ROWS.alias("requests"),
+        n_rows().alias("requests"),
         F.count(F.when(F.col("status_code") >= 500, 1)).alias("errors"),
         F.sum(latency).alias("latency_sum"),
         *[F.count(F.when(F.col(latency) <= b, 1)).alias(f"__le_{i}") for i, b in enumerate(bounds)],

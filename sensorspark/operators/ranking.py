@@ -85,6 +85,8 @@ def win_per_day_limit(df: DataFrame, k: int, day_col: str = "reading_date",
 
 def _latest(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in by]
+    # The other columns settle what the order leaves open, so reruns agree.
+    order = [*order, *[c for c in rest if c not in order]]
     row = F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")
     return df.groupBy(*by).agg(row).select(*by, "__r.*").select(*df.columns)
 

@@ -7,6 +7,7 @@ leaves the same result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,10 +106,12 @@ def _batch_path(root: str, batch_id: int) -> str:
 def _table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """All batches written so far; empty before the first."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return spark.read.schema(with_batch).parquet(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], with_batch)
-    return spark.read.schema(with_batch).parquet(root)
 
 
 def str_late_quarantine(
