@@ -46,6 +46,7 @@ from sensorspark.operators.models import (
     ml_rf_regressor,
     ml_save_load,
     ml_train_window,
+    spread,
 )
 from sensorspark.operators.ranking import win_group_threshold
 from sensorspark.operators.split import spl_label_stratified
@@ -133,7 +134,7 @@ FOREST = {"num_trees": 10, "max_depth": 8}
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    return ml_rf_regressor(**FOREST).fit(baseline(readings(spark, sf_dir)))
+    return ml_rf_regressor(**FOREST).fit(spread(baseline(readings(spark, sf_dir))))
 
 
 @query("ml_rf_regressor")
@@ -147,13 +148,13 @@ def rf_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "affluence", F.col("affluence").cast("double")
     )
     train, test = spl_label_stratified(labelled, key="row_key")
-    return evl_classification(ml_rf_classifier(**FOREST).fit(train).transform(test))
+    return evl_classification(ml_rf_classifier(**FOREST).fit(spread(train)).transform(test))
 
 
 @query("ml_embedding_regressor")
 def embedding_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
-    model = ml_embedding_regressor(maxIter=20).fit(baseline(r))
+    model = ml_embedding_regressor(maxIter=20).fit(spread(baseline(r)))
     return evl_regression(model.transform(current(r)), by=["sensor_id"])
 
 

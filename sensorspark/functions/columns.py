@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.schema import LOCAL_TIME_ZONE, YEAR_INDEX
@@ -84,3 +84,13 @@ def floor_days(end: Column, start: Column) -> Column:
 def divide(a: Column, b: Column) -> Column:
     """a / b, null when b is 0."""
     return F.when(b != 0, a / b)
+
+
+def since(df: DataFrame, ts: str, start: Column, strict: bool = False, day: str | None = None) -> DataFrame:
+    """Rows from ``start`` on. Where the table keeps the day of ``ts`` as a column of its own
+    (``reading_date`` beside ``reading_ts``), the day is filtered too, so whole partitions drop out."""
+    day = day or {"reading_ts": "reading_date"}.get(ts)
+    out = df.where(F.col(ts) > start if strict else F.col(ts) >= start)
+    if day in df.columns:
+        out = out.where(F.col(day) >= start.cast("date"))
+    return out

@@ -41,16 +41,18 @@ def split_points(df: DataFrame, col: str, buckets: int = 256) -> list[float]:
 def with_bucket(
     df: DataFrame, col: str, points: Sequence[float] | None = None, out: str = BUCKET
 ) -> DataFrame:
-    """Add an integer bucket that never decreases while ``col`` grows. ``col`` must not be null."""
+    """Add an integer bucket that never decreases while ``col`` grows; nulls come before all."""
     points = split_points(df, col) if points is None else points
     splits = [float("-inf"), *points, float("inf")]
     if len(splits) == 2:
         splits = [float("-inf"), 0.0, float("inf")]
     tmp = f"__{out}_x"
     bucketizer = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    # A bucket is never null; saying so keeps null checks out of the plan, and with them a second
+    # read of the input (both uses of the counts share one exchange).
     return (
         bucketizer.transform(df.withColumn(tmp, as_number(df, col)))
-        .withColumn(out, F.col(out).cast("int"))
+        .withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1)))
         .drop(tmp)
     )
 
@@ -115,21 +117,26 @@ def running(
     return rows.join(carry, keys).select(*[F.col(f"`{c}`") for c in df.columns], *out)
 
 
-def value_counts(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+def value_counts(df: DataFrame, by: Sequence[str], col: str, nulls: bool = False) -> DataFrame:
     """Distinct values per group with their row counts: copies collapse before any ordering."""
-    return df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("x")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    rows = df if nulls else df.where(F.col(col).isNotNull())
+    return rows.groupBy(*by, F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ranked_values(
-    df: DataFrame, by: Sequence[str], col: str, points: Sequence[float] | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    col: str,
+    points: Sequence[float] | None = None,
+    nulls: bool = False,
 ) -> DataFrame:
-    """``by..., x, n, cum, cum_total``: distinct values with cumulative and total row counts."""
+    """``by..., x, n, cum, cum_total``: distinct values with cumulative and total row counts. With
+    ``nulls`` a group's null values keep a row of their own; they rank nowhere."""
     points = split_points(df, col) if points is None else points
-    counts = value_counts(df, by, col)
+    counts = value_counts(df, by, col, nulls)
+    valued = F.when(F.col("x").isNotNull(), F.col("n")).otherwise(F.lit(0)) if nulls else F.col("n")
     return running(
-        with_bucket(counts, "x", points), by, "x", measures={"cum": ("sum", F.col("n"))}
+        with_bucket(counts, "x", points), by, "x", measures={"cum": ("sum", valued)}
     ).drop(BUCKET)
 
 
@@ -138,7 +145,8 @@ def quantile_columns(probs: dict[str, float]) -> list[Column]:
     x, n, cum, total = (F.col(c) for c in ("x", "n", "cum", "cum_total"))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((cum - n <= rank) & (rank < cum), x.cast("double")))
+        hit = (cum - n <= rank) & (rank < cum) & x.isNotNull()
+        return F.max(F.when(hit, x.cast("double")))
 
     out = []
     for name, p in probs.items():
@@ -173,7 +181,8 @@ def hash_cut(
     quota: Callable[[Column], Column],
     digits: int = 4,
 ) -> DataFrame:
-    """``by..., cut``: per group the hash up to which rows must be taken to reach ``quota(rows)``.
+    """``by..., cut``: per group the hash up to which rows must be taken to reach ``quota(rows)``,
+    a column expression of the group's row count.
 
     Rows are counted per leading hash digits (combined before the shuffle); only the one slice of
     hashes that holds a group's boundary is looked at in full. Callers then compare each row's

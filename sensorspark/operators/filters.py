@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.functions.columns import ts_of
+from sensorspark.functions.columns import since, ts_of
 from sensorspark.schema import DRIFT_ALWAYS_KEEP, DRIFT_EXCLUDE_PATTERNS, ROLES, Roles
 
 
@@ -17,7 +17,7 @@ def flt_high_water(df: DataFrame, target: DataFrame, roles: Roles = ROLES) -> Da
     without a timestamp included). The mark is one value, so it becomes a literal and reaches the
     scan."""
     mark = target.agg(F.max(roles.ts)).first()[0]
-    return df if mark is None else df.where(F.col(roles.ts) > ts_of(mark))
+    return df if mark is None else since(df, roles.ts, ts_of(mark), strict=True)
 
 
 def flt_valid_count(df: DataFrame, roles: Roles = ROLES) -> DataFrame:

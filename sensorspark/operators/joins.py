@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.functions.columns import ts_of
+from sensorspark.functions.columns import since, ts_of
 from sensorspark.operators.ranking import win_latest_prediction
 from sensorspark.schema import ROLES, Roles
 
@@ -38,16 +38,16 @@ def jn_pred_actual(
     the newest prediction, ``model_version`` one model. ``n_rows`` counts how many (prediction,
     actual) row pairs an output row stands for; metrics take it as weight.
     """
-    since = ts_of(now) - F.expr(f"INTERVAL {days} DAYS")
+    start = ts_of(now) - F.expr(f"INTERVAL {days} DAYS")
     keys = [roles.sensor, roles.ts]
-    p = pred.where(F.col(roles.ts) >= since)
+    p = since(pred, roles.ts, start, day="pred_date")
     if model_version is not None:
         p = p.where(F.col("model_version") == model_version)
     extra = [c for c in ("model_type", "model_version", "prediction_ts") if c in pred.columns]
     if latest_only:
         p = win_latest_prediction(p, roles=roles)
     p = collapse(p.select(*keys, "prediction", *extra), "__p")
-    a = actual.where((F.col(roles.ts) >= since) & F.col(roles.value).isNotNull())
+    a = since(actual, roles.ts, start).where(F.col(roles.value).isNotNull())
     a = collapse(a.select(*keys, roles.value), "__a")
     return p.join(a, keys).withColumn("n_rows", F.col("__p") * F.col("__a")).drop("__p", "__a")
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import divide, seconds_between, ts_of
-from sensorspark.functions.ordering import BUCKET, running
+from sensorspark.functions.ordering import BUCKET
 
 SERIES = ("metric", "instance")
 
@@ -41,14 +42,26 @@ ALERT_RULES = [
     ("run_too_slow", "run_duration_seconds", "gt", 3600.0, None, 600, 600, "OK", "warning"),
     ("no_data_ingested", "records_ingested_increase_1h", "eq", 0.0, None, 3600, 129600, "NoData", "warning"),
 ]
-RULE_SCHEMA = (
-    "rule string, metric string, evaluator string, low double, high double, lookback_s int, "
-    "for_s int, no_data string, severity string"
+RULE_SCHEMA = pa.schema(
+    [
+        ("rule", pa.string()),
+        ("metric", pa.string()),
+        ("evaluator", pa.string()),
+        ("low", pa.float64()),
+        ("high", pa.float64()),
+        ("lookback_s", pa.int32()),
+        ("for_s", pa.int32()),
+        ("no_data", pa.string()),
+        ("severity", pa.string()),
+    ]
 )
 
 
 def alert_rules(spark: SparkSession, rules: Sequence[tuple] = ALERT_RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+    """Rules as a local relation: the planner knows its size, so joins on it need no shuffle by
+    metric name (a handful of names would carry all samples)."""
+    rows = [dict(zip(RULE_SCHEMA.names, r)) for r in rules]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=RULE_SCHEMA))
 
 
 def mon_gauges_from_audit(audit: DataFrame, ts: str = "timestamp", keys: Sequence[str] = ()) -> DataFrame:
@@ -207,17 +220,40 @@ def alert_history(
 ) -> DataFrame:
     """Every evaluation with the time its condition has held since, and Normal, Pending or Firing.
 
-    The start of a run of breaches is carried forward day by day, so a series with a long history
-    is not handled in one piece."""
+    Evaluations are handled day by day. Within a day a run of breaches starts where the evaluation
+    before was fine; whether the day's first breach starts a run, and which run reaches into the
+    day, follows from one row per earlier day."""
     by = list(by)
-    one = states.groupBy(*by, "ts").agg(F.max("breach").alias("breach")).withColumn(
-        BUCKET, F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
+    one = (
+        states.groupBy(*by, "ts")
+        .agg(F.coalesce(F.max("breach"), F.lit(False)).alias("breach"))
+        .withColumn(BUCKET, F.coalesce(day, F.lit(-1)))
     )
-    hit = F.col("breach").cast("int")
-    known = running(one, by, "ts", measures={"was": ("previous", hit)})
-    starts = F.when(F.col("breach") & (F.coalesce(F.col("was"), F.lit(0)) == 0), F.col("ts"))
-    carried = running(known, by, "ts", measures={"since": ("max", starts)})
-    return _named_state(carried, rules, F.col("ts")).select(
+    keys = [*by, BUCKET]
+    inside = Window.partitionBy(*keys).orderBy("ts")
+    rows = one.withColumn("__start", F.when(F.col("breach") & ~F.lag("breach").over(inside), F.col("ts")))
+    days = rows.groupBy(*keys).agg(
+        F.max("__start").alias("__latest"),
+        F.min("ts").alias("__first_ts"),
+        F.min_by("breach", "ts").alias("__first"),
+        F.max_by("breach", "ts").alias("__last"),
+    )
+    in_order = Window.partitionBy(*by).orderBy(BUCKET)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.when(
+        F.col("__first") & ~F.coalesce(F.lag("__last").over(in_order), F.lit(False)), F.col("__first_ts")
+    )
+    carry = (
+        days.withColumn("__opens", opens)
+        .withColumn("__reach", F.max(F.greatest("__latest", "__opens")).over(earlier))
+        .select(*keys, F.greatest("__opens", "__reach").alias("__carried"))
+    )
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = rows.join(carry, keys).withColumn(
+        "since", F.greatest(F.max("__start").over(upto), F.col("__carried"))
+    )
+    return _named_state(since, rules, F.col("ts")).select(
         *by, "ts", "breach", F.when(F.col("breach"), F.col("since")).alias("active_since"), "state"
     )
 

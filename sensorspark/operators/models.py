@@ -97,6 +97,13 @@ def ml_embedding_regressor(
     return Pipeline(stages=[*feature_stages(year_base=year_base), fm])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores for fitting, which passes over them many times: a frame read from few
+    files would keep most of the cluster idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @dataclass
 class TrainResult:
     model: PipelineModel
@@ -121,7 +128,7 @@ def ml_train_window(
             train = set_concat_align(baseline, part)
     if test is None:
         test = baseline.limit(0)
-    return TrainResult(estimator.fit(train), train, test, sliding)
+    return TrainResult(estimator.fit(spread(train)), train, test, sliding)
 
 
 def ml_batch_score(
@@ -198,7 +205,7 @@ def ml_ablation(
     train, test = spl_holdout(df, key=key, min_rows=0, min_test=0)
     rows = None
     for name, est in (("with_feature", with_it), ("without_feature", without_it)):
-        m = evl_regression(est.fit(train).transform(test), y, "prediction").withColumn(
+        m = evl_regression(est.fit(spread(train)).transform(test), y, "prediction").withColumn(
             "variant", F.lit(name)
         )
         rows = m if rows is None else rows.unionByName(m)
@@ -238,7 +245,7 @@ def ml_cross_validate(
         numFolds=folds,
         foldCol="fold",
     )
-    fitted = cv.fit(df.withColumn("fold", fold.cast("int")))
+    fitted = cv.fit(spread(df).withColumn("fold", fold.cast("int")))
     return df.sparkSession.createDataFrame(
         [(metric, folds, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))],
         "metric string, folds int, mean double, std double",
@@ -265,7 +272,7 @@ def ml_baselines(
     train, test = spl_holdout(df, key=key, min_rows=0, min_test=0)
     rows = None
     for name, est in (estimators or baseline_estimators(y)).items():
-        m = evl_regression(est.fit(train).transform(test), y, "prediction").select(
+        m = evl_regression(est.fit(spread(train)).transform(test), y, "prediction").select(
             F.lit(name).alias("model"), "*"
         )
         rows = m if rows is None else rows.unionByName(m)

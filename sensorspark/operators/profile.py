@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorspark.functions.columns import divide, floor_days, seconds_between, ts_of
+from sensorspark.functions.columns import divide, floor_days, seconds_between, since, ts_of
 from sensorspark.functions.ordering import (
     quantile_columns,
     ranked_values,
@@ -63,7 +63,7 @@ def agg_freshness_check(
     df: DataFrame, now: Column | datetime | str, days: int = 7, roles: Roles = ROLES
 ) -> DataFrame:
     """Rows of the last days with their first and last time; ``failed`` when there are none."""
-    recent = df.where(F.col(roles.ts) >= ts_of(now) - F.expr(f"INTERVAL {days} DAYS"))
+    recent = since(df, roles.ts, ts_of(now) - F.expr(f"INTERVAL {days} DAYS"))
     return recent.agg(
         n_rows().alias("n_rows"), F.min(roles.ts).alias("first_ts"), F.max(roles.ts).alias("last_ts")
     ).withColumn("status", F.when(F.col("n_rows") == 0, "failed").otherwise("ok"))
@@ -340,20 +340,26 @@ def agg_histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int =
     """Equal-width bins (0-based) of each numeric column; the maximum falls in the last bin."""
     cols = list(cols or numeric_columns(df))
     limits = df.agg(
-        F.struct(
-            *[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cols)],
-            *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)],
-        ).alias("l")
-    ).scalar()
+        *[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cols)],
+        *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)],
+    ).first()
     entries = []
     for i, c in enumerate(cols):
-        x, lo, hi = F.col(c).cast("double"), limits[f"lo_{i}"], limits[f"hi_{i}"]
-        b = F.when(hi > lo, F.least(F.width_bucket(x, lo, hi, F.lit(bins)), F.lit(bins)) - 1).otherwise(
-            F.lit(bins // 2).cast("bigint")
-        )
+        lo, hi = limits[f"lo_{i}"], limits[f"hi_{i}"]
+        if lo is None:
+            continue
+        x = F.col(c).cast("double")
+        if hi > lo:
+            b = F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)) - 1
+        else:
+            b = F.lit(bins // 2).cast("bigint")
         entries.append(
-            F.struct(F.lit(c).alias("column"), F.when(x.isNotNull(), b).alias("bin"),
-                     lo.alias("lo"), hi.alias("hi"))
+            F.struct(
+                F.lit(c).alias("column"),
+                F.when(x.isNotNull(), b).alias("bin"),
+                F.lit(lo).alias("lo"),
+                F.lit(hi).alias("hi"),
+            )
         )
     width = (F.col("hi") - F.col("lo")) / bins
     return (
@@ -399,8 +405,8 @@ def agg_outliers_iqr(
     if by:
         joined = ranked.join(bounds, by)
     else:
-        cell = bounds.agg(F.first(F.struct(*bounds.columns))).scalar()
-        joined = ranked.withColumns({c: cell[c] for c in bounds.columns})
+        one = bounds.first()
+        joined = ranked.withColumns({c: F.lit(one[c]) for c in bounds.columns})
     x, n = F.col("x"), F.col("n")
     outside = (x < F.col("lower")) | (x > F.col("upper"))
     return (
@@ -425,13 +431,14 @@ def agg_run_durations(
 ) -> DataFrame:
     """Runs, mean and median duration in seconds per group; runs without an end count as runs."""
     d = runs.withColumn("duration_s", seconds_between(F.col("end_ts"), F.col("start_ts")))
-    ranked = ranked_values(d, by, "duration_s", points)
-    timed = ranked.groupBy(*by).agg(
-        (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean_duration_s"),
-        F.max("x").alias("max_duration_s"),
+    ranked = ranked_values(d, by, "duration_s", points, nulls=True)
+    x, n = F.col("x"), F.col("n")
+    return ranked.groupBy(*by).agg(
+        F.sum(n).alias("n_runs"),
+        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean_duration_s"),
+        F.max(x).alias("max_duration_s"),
         *quantile_columns({"median_duration_s": 0.5}),
     )
-    return runs.groupBy(*by).agg(n_rows().alias("n_runs")).join(timed, list(by), "left")
 
 
 def agg_kv_pivot(kv: DataFrame, keys: Sequence[str], run: str = "run_id") -> DataFrame:

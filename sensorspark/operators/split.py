@@ -21,6 +21,7 @@ from sensorspark.functions.ordering import (
 from sensorspark.operators.combine import key_flags
 from sensorspark.operators.joins import jn_remainder
 from sensorspark.schema import ROLES, Roles
+from sensorspark.session import via_table
 
 
 def temporal_cutoff(df: DataFrame, train_ratio: float = 0.8, roles: Roles = ROLES) -> DataFrame:
@@ -113,10 +114,12 @@ def spl_stratified_sample(
     Rows inside their sensor's share come first, then all others, both in hash order; the sample
     is the first ``n`` of that order."""
     hashed = df.withColumn("__h", hash_order(key, seed))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    cuts = hash_cut(
-        hashed, [by], "__h", lambda m: F.greatest(F.lit(1), F.floor(F.lit(n) * m / total))
+    total = df.count()
+    share = hash_cut(
+        hashed, [by], "__h", lambda m: F.greatest(F.lit(1), F.floor(F.lit(n) * m / F.lit(total)))
     )
+    # One row per sensor, used by every later step.
+    cuts = via_table(share, "sample-cuts")
     placed = hashed.join(cuts, by, "left").withColumn(
         "__h", F.concat(F.when(F.col("__h") <= F.col("cut"), "0").otherwise("1"), "__h")
     )
@@ -126,8 +129,8 @@ def spl_stratified_sample(
 def _first_by_hash(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
     """The first ``n`` rows by ``__h``. All but about ``n`` rows are filtered out before the sort."""
     keys = [key] if isinstance(key, str) else list(key)
-    cut = hash_cut(df, [], "__h", lambda m: F.least(m, F.lit(n))).agg(F.max("cut")).scalar()
-    return df.where(F.col("__h") <= cut).orderBy("__h", *keys).limit(n)
+    cut = hash_cut(df, [], "__h", lambda m: F.least(m, F.lit(n))).agg(F.max("cut")).first()[0]
+    return df.where(F.col("__h") <= F.lit(cut)).orderBy("__h", *keys).limit(n)
 
 
 def spl_random_sample(

@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.functions.columns import ts_of
+from sensorspark.functions.columns import since, ts_of
 from sensorspark.functions.ordering import top_k_per_group
 from sensorspark.schema import ROLES, Roles
 
@@ -23,7 +23,7 @@ def src_warehouse_window(
 ) -> DataFrame:
     """Rows not older than ``interval`` (such as ``48 HOURS``) before ``now``. A literal ``now``
     reaches the scan as a pushed filter. A limit needs an order."""
-    out = df.where(F.col(roles.ts) >= ts_of(now) - F.expr(f"INTERVAL {interval}"))
+    out = since(df, roles.ts, ts_of(now) - F.expr(f"INTERVAL {interval}"))
     if order_by is not None:
         out = out.orderBy(*order_by)
     if limit is not None:
