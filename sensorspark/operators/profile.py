@@ -113,7 +113,7 @@ def agg_describe(
     )
     m = F.col("n_rows")
     var = divide(F.col("__s2") - F.col("__s") * F.col("__s") / m, m - 1)
-    std = F.sqrt(F.greatest(var, F.lit(0.0)))
+    std = F.sqrt(F.when(var >= 0, var).when(var < 0, 0.0))
     return out.select(*by, "n_rows", "mean", std.alias("std"), "min", "q25", "q50", "q75", "max")
 
 
