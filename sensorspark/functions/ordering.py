@@ -30,31 +30,49 @@ def as_number(df: DataFrame, col: str) -> Column:
 
 
 def split_points(df: DataFrame, col: str, buckets: int = 256) -> list[float]:
-    """Approximate quantiles: one column-pruned pass, at most ``buckets - 1`` numbers come back.
-    They only steer balance; results do not depend on how exact they are."""
-    probs = [i / buckets for i in range(1, buckets)]
+    """Lowest value, approximate quantiles, highest value: one column-pruned pass, at most
+    ``buckets + 1`` numbers come back. They only steer balance; results do not depend on how exact
+    they are."""
+    probs = [i / buckets for i in range(buckets + 1)]
     x = as_number(df, col)
-    found = df.where(~F.isnan(x)).agg(F.percentile_approx(x, probs, 4 * buckets)).first()[0]
+    found = df.where(~F.isnan(x)).agg(F.percentile_approx(x, probs, 2 * buckets)).first()[0]
     return sorted(set(found or []))
 
 
 def with_bucket(
-    df: DataFrame, col: str, points: Sequence[float] | None = None, out: str = BUCKET
+    df: DataFrame,
+    col: str,
+    points: Sequence[float] | None = None,
+    out: str = BUCKET,
+    parts: int = 64,
 ) -> DataFrame:
-    """Add an integer bucket that never decreases while ``col`` grows; nulls come before all."""
-    points = split_points(df, col) if points is None else points
-    splits = [float("-inf"), *points, float("inf")]
-    if len(splits) == 2:
-        splits = [float("-inf"), 0.0, float("inf")]
+    """Add an integer bucket that never decreases while ``col`` grows; nulls come before all.
+
+    Each span between two points is cut again into ``parts`` of equal width, so a few hundred
+    points give many thousand buckets."""
+    points = split_points(df, col) if points is None else list(points)
     tmp = f"__{out}_x"
-    bucketizer = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    placed = df.withColumn(tmp, as_number(df, col))
+    inner = points[1:-1]
+    if inner:
+        splits = [float("-inf"), *inner, float("inf")]
+        placed = Bucketizer(
+            splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep"
+        ).transform(placed)
+    else:
+        placed = placed.withColumn(out, F.when(F.col(tmp).isNotNull(), 0.0))
+    span = F.col(out).cast("int")
+    if len(points) > 1:
+        edges = F.expr(f"array({', '.join(f'{p!r}D' for p in points)})")
+        lo, hi = F.get(edges, span), F.get(edges, span + 1)
+        share = F.when(hi > lo, F.floor((F.col(tmp) - lo) / (hi - lo) * parts))
+        inside = F.least(F.greatest(F.coalesce(share, F.lit(0)), F.lit(0)), F.lit(parts - 1))
+        bucket = span * parts + inside.cast("int")
+    else:
+        bucket = span
     # A bucket is never null; saying so keeps null checks out of the plan, and with them a second
     # read of the input (both uses of the counts share one exchange).
-    return (
-        bucketizer.transform(df.withColumn(tmp, as_number(df, col)))
-        .withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1)))
-        .drop(tmp)
-    )
+    return placed.withColumn(out, F.coalesce(bucket, F.lit(-1))).drop(tmp)
 
 
 def running(

@@ -188,7 +188,7 @@ def agg_key_distribution(df: DataFrame, rare_below: int = 10, roles: Roles = ROL
     counts = df.groupBy(roles.sensor).agg(n_rows().alias("rows_of_key"))
     # Sensors with equal row counts collapse, so the median works on distinct counts.
     sizes = counts.groupBy(F.col("rows_of_key").alias("x")).agg(n_rows().alias("n"))
-    points = [float(2**i) for i in range(0, 48)]  # row counts spread over orders of magnitude
+    points = [0.0] + [float(2**i) for i in range(48)]  # row counts spread over orders of magnitude
     ranked = running(with_bucket(sizes, "x", points), [], "x", measures={"cum": ("sum", F.col("n"))})
     x, n = F.col("x"), F.col("n")
     return ranked.agg(

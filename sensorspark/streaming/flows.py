@@ -47,9 +47,22 @@ def _file_sink(
     return writer.start()
 
 
-def str_dedup(stream: DataFrame, delay: str = "2 hours", roles: Roles = ROLES) -> DataFrame:
-    """One row per sensor and time while copies arrive within the delay."""
-    return event_time(stream, roles.ts, delay).dropDuplicatesWithinWatermark([roles.sensor, roles.ts])
+def str_dedup(
+    stream: DataFrame, delay: str = "2 hours", salts: int = 16, roles: Roles = ROLES
+) -> DataFrame:
+    """One row per sensor and time while copies arrive within the delay.
+
+    Copies are first dropped within salted parts (the salt follows the input partition), so that a
+    row that is repeated without end does not send every copy to one task."""
+    keys = [roles.sensor, roles.ts]
+    salted = event_time(stream, roles.ts, delay).withColumn(
+        "__salt", F.pmod(F.spark_partition_id(), F.lit(salts))
+    )
+    return (
+        salted.dropDuplicatesWithinWatermark([*keys, "__salt"])
+        .dropDuplicatesWithinWatermark(keys)
+        .drop("__salt")
+    )
 
 
 def str_tumbling_rollup(stream: DataFrame, delay: str = "2 hours", roles: Roles = ROLES) -> DataFrame:
