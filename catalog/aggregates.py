@@ -135,7 +135,7 @@ def _stat_rows(side: str) -> str:
     with_(
         RT,
         f"d AS (SELECT source, {DESCRIBE} FROM rt GROUP BY source)",
-        f"""SELECT a.stat, a.v AS value_a, b.v AS value_b, round((b.v - a.v) * 100.0::DOUBLE / a.v, 1) AS difference_pct
+        f"""SELECT a.stat, a.v AS value_a, b.v AS value_b, round((b.v - a.v) * 100.0::DOUBLE / nullif(a.v, 0), 1) AS difference_pct
         FROM ({_stat_rows('view')}) a JOIN ({_stat_rows('click')}) b USING (stat)""",
     ),
     rounds=["value_a", "value_b"],

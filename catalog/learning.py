@@ -142,6 +142,15 @@ def rf_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evl_regression(fitted(spark, sf_dir).transform(current(readings(spark, sf_dir))), by=["sensor_id"])
 
 
+@query("ml_rf_regressor_category")
+def rf_regressor_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sensor as one categorical feature, with a bin for every sensor."""
+    r = readings(spark, sf_dir)
+    bins = max(32, r.select("sensor_id").distinct().count() + 2)
+    forest = ml_rf_regressor(**FOREST, sensor_as="category", maxBins=bins)
+    return evl_regression(forest.fit(spread(baseline(r))).transform(current(r)), by=["sensor_id"])
+
+
 @query("ml_rf_classifier")
 def rf_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = win_group_threshold(readings(spark, sf_dir)).withColumn(

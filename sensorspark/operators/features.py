@@ -133,18 +133,41 @@ def ml_standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
 
 
 def feature_stages(
-    with_sensor: bool = True, extra: Sequence[str] = (), year_base: int = -1
+    with_sensor: bool = True,
+    extra: Sequence[str] = (),
+    year_base: int = -1,
+    sensor_as: str = "one_hot",
 ) -> list:
     """The fixed feature set: weekday and sensor one-hot, six scaled numbers, extra numbers as they
-    are. Output column ``features``."""
-    hot = ["weekday", "sensor_id"] if with_sensor else ["weekday"]
+    are. Output column ``features``.
+
+    ``sensor_as="category"`` gives the sensor as one categorical feature instead, which trees split
+    by groups of sensors: one column however many sensors there are."""
+    if sensor_as not in ("one_hot", "category"):
+        raise ValueError(f"sensor_as: {sensor_as}")
+    hot = ["weekday"]
+    sensor, stages = [], []
+    if with_sensor and sensor_as == "one_hot":
+        hot.append("sensor_id")
+    elif with_sensor:
+        sensor = ["sensor_id_label"]
+        stages = [
+            StringIndexer(
+                inputCol="sensor_id",
+                outputCol="sensor_id_label",
+                stringOrderType="alphabetAsc",
+                handleInvalid="keep",
+            )
+        ]
     return [
         *clean_stages(year_base),
+        *stages,
         *one_hot_stages(hot),
         VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="numbers_z", withMean=True, withStd=True),
         VectorAssembler(
-            inputCols=[*[f"{c}_vec" for c in hot], "numbers_z", *extra], outputCol="features"
+            inputCols=[*[f"{c}_vec" for c in hot], *sensor, "numbers_z", *extra],
+            outputCol="features",
         ),
     ]
 

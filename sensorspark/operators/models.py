@@ -40,9 +40,12 @@ def ml_rf_regressor(
     with_sensor: bool = True,
     extra: Sequence[str] = (),
     year_base: int = -1,
+    sensor_as: str = "one_hot",
     **params,
 ) -> Pipeline:
-    """Features and a random forest that looks at every feature in each split."""
+    """Features and a random forest that looks at every feature in each split. With many sensors
+    take ``sensor_as="category"`` and ``maxBins`` above their number: one column then stands for
+    all sensors."""
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=label,
@@ -52,7 +55,7 @@ def ml_rf_regressor(
         featureSubsetStrategy="all",
         **params,
     )
-    return Pipeline(stages=[*feature_stages(with_sensor, extra, year_base), forest])
+    return Pipeline(stages=[*feature_stages(with_sensor, extra, year_base, sensor_as), forest])
 
 
 def ml_rf_classifier(

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
     from compare import session
 
     spark = session("8")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield spark

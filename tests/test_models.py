@@ -52,6 +52,15 @@ def test_forest_learns(readings, forest):
     assert forest.transform(readings).where("prediction < 0").count() == 0
 
 
+def test_sensor_as_category(readings):
+    model = ml_rf_regressor(**SMALL, sensor_as="category").fit(readings)
+    assert evl_regression(model.transform(readings)).first().r2 > 0.9
+    odd = readings.limit(3).withColumn("sensor_id", F.lit("nowhere"))
+    assert model.transform(odd).dropna(subset=["prediction"]).count() == 3
+    with pytest.raises(ValueError):
+        ml_rf_regressor(sensor_as="other")
+
+
 def test_same_seed_same_model(readings, forest):
     again = ml_rf_regressor(**SMALL).fit(readings)
     keys = ["sensor_id", "reading_ts", "prediction"]
