@@ -17,7 +17,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, name):
-    assert compare(spark, con, SF, QUERIES[name], SQL[name]) == []
+    # With a handful of sensors a few results are empty on both sides; compare.py asks for rows at
+    # the next scale.
+    assert compare(spark, con, SF, QUERIES[name], SQL[name], need_rows=False) == []
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
