@@ -7,12 +7,17 @@ they run as vectorised functions on tables with one row per test, never on readi
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Workers get these few functions with the job, so the library need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 20) -> Column:
     """Asymptotic two-sided p-value of a two-sample KS statistic."""
