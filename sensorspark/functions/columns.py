@@ -69,11 +69,18 @@ def year_index(year: Column, base: int | None = None) -> Column:
     return out
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a wall time, whatever the session's zone (a cast to a zoned type
+    would bend the hours around its clock changes)."""
+    wall = ts.cast("timestamp_ntz")
+    day = F.datediff(wall.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minutes = (day * 24 + F.hour(wall)) * 60 + F.minute(wall)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("bigint")
+
+
 def seconds_between(end: Column, start: Column) -> Column:
     """Elapsed seconds with fractions."""
-    return (
-        F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    ) / F.lit(1_000_000.0)
+    return (micros(end) - micros(start)) / F.lit(1_000_000.0)
 
 
 def floor_days(end: Column, start: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorspark.functions.columns import micros
+
 BUCKET = "order_bucket"
 
 # kind -> (summary of a bucket, how summaries and rows accumulate)
@@ -25,7 +27,7 @@ def as_number(df: DataFrame, col: str) -> Column:
     """A double that orders like the column; equal values give equal numbers."""
     dtype = df.schema[col].dataType
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+        return micros(F.col(col)).cast("double")
     return F.col(col).cast("double")
 
 

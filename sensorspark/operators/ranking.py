@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorspark.functions.columns import micros
 from sensorspark.functions.ordering import quantiles, top_k_per_group
 from sensorspark.schema import ROLES, Roles
 
@@ -35,7 +36,7 @@ def win_group_threshold(df: DataFrame, stat: str = "mean", fit_on: DataFrame | N
 def win_peak_per_sensor(df: DataFrame, roles: Roles = ROLES) -> DataFrame:
     """Per sensor: the highest mean of one timestamp, and the first timestamp that reaches it."""
     means = df.groupBy(roles.sensor, roles.ts).agg(F.avg(roles.value).alias("m"))
-    order = F.struct(F.col("m"), -F.unix_micros(F.col(roles.ts).cast("timestamp")))
+    order = F.struct(F.col("m"), -micros(F.col(roles.ts)))
     return means.groupBy(roles.sensor).agg(
         F.max("m").alias("peak_value"), F.max_by(roles.ts, order).alias("peak_ts")
     )

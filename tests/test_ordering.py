@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sensorspark.functions.columns import micros
 from sensorspark.functions.ordering import (
     hash_cut,
     hash_order,
@@ -127,3 +128,15 @@ def test_top_k(skewed):
 def test_top_k_of_copies(frame):
     df = frame([(1, 1)] * 100, "g int, v int").repartition(4)
     assert top_k_per_group(df, ["g"], [F.col("v")], 10).count() == 10
+
+
+def test_wall_times_do_not_depend_on_the_session_zone(spark, frame):
+    times = ["1969-12-31 23:59:59.5", "2024-03-31 02:30:00.000001", "2024-03-31 03:00:00", "2024-10-27 02:30:00"]
+    df = frame([(t,) for t in times], "t timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        got = [r[0] for r in df.select(micros(F.col("t"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [pd.Timestamp(t).value // 1000 for t in times]
