@@ -151,6 +151,48 @@ def shingle_sets(words: np.ndarray, at: np.ndarray, k: int = 5) -> list[np.ndarr
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 8192) -> Iterator[pa.Table]:
+    """From batches sorted by their first ``keys`` columns: tables of about ``rows`` rows in which
+    every group is whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        values = [table.column(i).to_numpy() for i in range(keys)]
+        other = np.flatnonzero(np.any([v != v[-1] for v in values], axis=0))
+        begin = int(other[-1]) + 1 if len(other) else 0
+        if begin:
+            yield table.slice(0, begin)
+        held = table.slice(begin).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_numbers(table: pa.Table, keys: int) -> np.ndarray:
+    """0, 1, ... for the runs of equal values in the first ``keys`` columns."""
+    values = [table.column(i).to_numpy() for i in range(keys)]
+    new = np.any([v[1:] != v[:-1] for v in values], axis=0)
+    return np.concatenate([[0], np.cumsum(new)])
+
+
+def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of each of 0 .. n-1's connected component, given pairs."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def ranked(df: DataFrame, order: Sequence[Column], label: str, parts: int | None = None) -> DataFrame:
     """The rows in a total order, written as a table with their place: ``__part`` and ``__pos``.
 
@@ -205,6 +247,6 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 
 __all__ = [
-    "SPACE", "WORD", "before", "components", "mix", "ranked", "shared_uri", "shingle_sets", "small_batches",
-    "table", "text_buffer", "text_slices", "via_table", "word_hashes",
+    "SPACE", "WORD", "before", "components", "group_numbers", "labels_of", "mix", "ranked", "shared_uri", "shingle_sets", "small_batches",
+    "table", "text_buffer", "text_slices", "via_table", "whole_groups", "word_hashes",
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm import lines, mixing, sharding, warc
+from sensorspark.llm import jaccard, lines, mixing, quality, sharding, warc
 from sensorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = mixing.label_weights(table(spark, sf_dir, "labels"))
     out = mixing.mix_sources(table(spark, sf_dir, "documents"), quality)
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op1_subword_quality")
+def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(
+        "doc_id", (~quality.learns()).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_chosen_path_join")
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
