@@ -75,20 +75,20 @@ def set_numbers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_id, text`` -> ``doc_id, row_id, node, tokens``: the number of every row's
+    """``doc_id, row_id, text_key, text`` -> ``doc_id, row_id, text_key, node, tokens``: the number of every row's
     shingle set and its tokens."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_slices(batch.column(2), 1 << 18):
+            for a, b in text_slices(batch.column(3), 1 << 18):
                 rows = batch.slice(a, b - a)
-                sets = shingle_sets(*word_hashes(rows.column(2)), SHINGLE)
+                sets = shingle_sets(*word_hashes(rows.column(3)), SHINGLE)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(set_numbers(sets)), pa.array([t.tobytes() for t in _tokens(sets)], pa.binary())],
-                    ["doc_id", "row_id", "node", "tokens"],
+                    [*rows.columns[:3], pa.array(set_numbers(sets)), pa.array([t.tobytes() for t in _tokens(sets)], pa.binary())],
+                    ["doc_id", "row_id", "text_key", "node", "tokens"],
                 )
 
-    return docs.select("doc_id", "row_id", "text").mapInArrow(signed, "doc_id long, row_id long, node long, tokens binary")
+    return docs.select("doc_id", "row_id", "text_key", "text").mapInArrow(signed, "doc_id long, row_id long, text_key long, node long, tokens binary")
 
 
 def _low_bytes(tokens: Column) -> Column:
@@ -263,8 +263,9 @@ def _verify(rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(np.zeros(len(x), np.int64)), pa.array(node[y])], ["node", "links", "other"])
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """``doc_id, class_id, set_id, n_copies, n_links``: one row for every row of ``docs``.
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, text_key: bool = False) -> DataFrame:
+    """``doc_id, class_id, set_id, n_copies, n_links``: one row for every row of ``docs``; with
+    ``text_key`` also the text's hash under that name, and ``class_number``, null without partners.
 
     - Words are lower-cased and separated by ASCII white space. A text of one to four words is one
       shingle. Null, empty and blank texts have no shingle and link to nothing.
@@ -278,7 +279,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99)
     class of null ids only has the class null. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    docs = docs.withColumn("row_id", F.coalesce("doc_id", "text_key"))
     signed = via_table(signatures(docs), "jaccard-rows")
     copies = signed.where("node != 0").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_copies"))
     copies = via_table(copies, "jaccard-copies")
@@ -294,13 +296,40 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99)
     lowest = linked.groupBy("root").agg(F.min("set_id").alias("class_id"))
     decided = copies.join(linked.select("node", "root", "links"), "node", "left").join(lowest, "root", "left")
     decided = decided.where("n_copies > 1 or links > 0").select(
-        "node", "set_id", "n_copies", F.coalesce("class_id", "set_id").alias("class_id"),
+        "node", "set_id", "n_copies", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("root", "node").alias("class_number"),
         (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
     )
-    out = signed.select("doc_id", "node").join(via_table(decided, "jaccard-decided"), "node", "left")
+    out = signed.select("doc_id", "text_key", "node").join(via_table(decided, "jaccard-decided"), "node", "left")
     alone = F.col("n_copies").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *(["text_key", "class_number"] if text_key else []),
+    )
+
+
+def representatives(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """One row of every class, all columns: that of the class's smallest id, null after all others;
+    of several such rows the one whose text has the smallest hash, once. Rows without a shingle stay."""
+    key = F.xxhash64("text")
+    found = jaccard_join(docs, threshold, recall, text_key=True)
+    # Classes of more than one row are few beside all rows: who leaves is decided on narrow rows.
+    shared = found.where("n_copies > 1 or n_links > 0")
+    best = shared.groupBy("class_number").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    best = via_table(best, "jaccard-best")
+    leaving = shared.join(best, "class_number").where(
+        ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_key").eqNullSafe(F.col("best.text_key")))
     )
+    staying = via_table(best.select("best.doc_id", "best.text_key"), "jaccard-staying")
+    leaving = leaving.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__key"))
+    kept = docs.join(via_table(leaving, "jaccard-leaving"), same, "left_anti")
+    # Repeated rows of one id and text that stay: one of them.
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("__id"), key.alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    again = again.join(staying, again["__id"].eqNullSafe(staying["doc_id"]) & (again["__key"] == staying["text_key"])).select("__id", "__key")
+    again = via_table(again, "jaccard-again")
+    if again.limit(1).count() == 0:
+        return kept
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").union(once)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm import jaccard, lines, mixing, quality, sharding, warc
+from sensorspark.llm import decontaminate, jaccard, lines, mixing, quality, sharding, warc
 from sensorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,8 @@ def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chosen_path_join")
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op7_cgk_decontamination")
+def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
