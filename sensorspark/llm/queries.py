@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm import decontaminate, jaccard, lines, mixing, quality, sharding, warc
+from sensorspark.llm import decontaminate, jaccard, lines, mixing, neighbours, quality, sharding, warc
 from sensorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_cgk_decontamination")
 def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_projection_kdtree")
+def op2_projection_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
