@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm import decontaminate, jaccard, lines, mixing, neighbours, quality, sharding, warc
+from sensorspark.llm import decontaminate, html_extract, jaccard, lines, mixing, neighbours, quality, sharding, warc
 from sensorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_projection_kdtree")
 def op2_projection_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_wrapper_induction")
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
