@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm import decontaminate, html_extract, jaccard, lines, mixing, neighbours, quality, sharding, warc
+from sensorspark.llm import chat, decontaminate, html_extract, jaccard, lines, mixing, neighbours, quality, sharding, warc
 from sensorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,31 @@ def op2_projection_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_wrapper_induction")
 def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query(
+    "op4_perspectives",
+    r"""
+    WITH t AS (
+        SELECT conv_id, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS body, turn FROM conversations
+    ), p AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, body) - 1 AS place FROM t
+    ), w AS (
+        SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+    ), r AS (
+        SELECT p.conv_id, w.perspective, (place // 64)::BIGINT AS chunk, place, speaker = perspective AS own,
+            '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker <> 'system' THEN 'user name=' || replace(speaker, '<|', '< |') ELSE 'system' END || chr(10) AS head,
+            replace(body, '<|', '< |') || '<|im_end|>' AS said
+        FROM p JOIN w ON p.conv_id IS NOT DISTINCT FROM w.conv_id
+    ), s AS (
+        SELECT *, coalesce(sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun FROM r
+    )
+    SELECT conv_id, perspective, chunk, count(*)::INTEGER AS n_turns, string_agg(head || said || chr(10), '' ORDER BY place) AS dialogue,
+        coalesce(string_agg((begun + length(head)) || '-' || (begun + length(head) + length(said)), ',' ORDER BY place) FILTER (own), '') AS spans
+    FROM s GROUP BY conv_id, perspective, chunk
+    """,
+)
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumn("spans", text)
