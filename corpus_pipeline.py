@@ -19,8 +19,7 @@ from sensorspark.llm.common import table, via_table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It learns from the labelled documents of this
     stage's input."""
-    scored = quality.scored(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ PUNCTUATION = string.punctuation.encode()
 PLACES = 2
 #: Words of items that one pass over the documents carries to the tasks: 16 bytes and little more each.
 WORDS_A_PASS = 1 << 20
-#: Windows that are embedded together.
-POOL = 1 << 15
+#: Windows that are embedded together, and bytes of documents that wait for them.
+POOL, HELD_BYTES = 1 << 15, 32 << 20
 _TABLE_BITS = 22
 
 
@@ -225,74 +225,78 @@ class _Windows:
         return out
 
 
-def contaminated_windows(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.97) -> DataFrame:
-    """``doc_id, text_key, item_id, first_word, n_words, distance``: for every document and item the
-    window of smallest distance (then the first), where it is within ``share`` of the item's words.
-    ``text_key`` tells documents of one id apart.
+WINDOWS = "array<struct<item_id: bigint, first_word: bigint, n_words: bigint, distance: bigint>>"
+_WINDOW = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "first_word", "n_words", "distance")]))
+
+
+def with_windows(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.97, out: str = "windows") -> DataFrame:
+    """Adds ``windows``, by item: for each item the document's window of smallest distance (then the
+    first), where it is within ``share`` of the item's words. A column of that name is replaced.
 
     Words are lower-cased and separated by ASCII white space and punctuation; a window has as many
-    words as the item, fewer only at a text's edges. Null and empty texts and items match nothing.
-    Repeated rows give their rows once. Empty tables give an empty result. The items go to the tasks
-    in passes of ``WORDS_A_PASS`` words, each over all documents.
+    words as the item, fewer only at a text's edges. Null and empty texts and items match nothing;
+    items of one id are one item with several texts. Every row is searched by itself, so ids may
+    repeat or be null. Empty tables give empty results.
+
+    Rows pass through the tasks that search them; nothing is joined or shuffled. The items go to the
+    tasks ``WORDS_A_PASS`` words at a time, each time through a written table.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
-    n_words = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-n_words // (2 * WORDS_A_PASS)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    schema = "doc_id long, text_key long, item_id long, first_word long, n_words long, distance long"
-    found = None
+    n_chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = max(1, -(-n_chars // (2 * WORDS_A_PASS)))
+    rows = docs.drop(out).withColumn(out, F.array().cast(WINDOWS))
+    text, last = rows.columns.index("text"), len(rows.columns) - 1
     for k in range(passes):
         items = prepare([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()], share, recall)
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            pool = _Windows(items)
-            keys: list[pa.RecordBatch] = []
-            before = 0
+            pool, held, n, size = _Windows(items), [], 0, 0
 
             def close() -> Iterator[pa.RecordBatch]:
-                hits = pool.close()
-                if hits:
-                    doc, item, first, n, distance = (np.concatenate([h[c] for h in hits]) for c in range(5))
-                    table = pa.Table.from_batches(keys).take(pa.array(doc)).combine_chunks()
-                    for i, values in enumerate((item, first, n, distance)):
-                        table = table.append_column(("item_id", "first_word", "n_words", "distance")[i], pa.array(values, pa.int64()))
-                    yield from table.to_batches()
+                best: dict[tuple[int, int], tuple[int, int, int]] = {}
+                for found in pool.close():
+                    for doc, item, first, length, distance in zip(*(x.tolist() for x in found), strict=True):
+                        got = (distance, first, length)
+                        best[doc, item] = min(got, best.get((doc, item), got))
+                by: dict[int, list[dict]] = {}
+                for (doc, item), (distance, first, length) in sorted(best.items()):
+                    by.setdefault(doc, []).append({"item_id": item, "first_word": first, "n_words": length, "distance": distance})
+                at = 0
+                for batch in held:
+                    before = batch.column(last).to_pylist()
+                    windows = pa.array([b + by.get(at + i, []) for i, b in enumerate(before)], _WINDOW)
+                    at += batch.num_rows
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:last], windows], batch.schema.names)
 
             for batch in batches:
-                keys.append(batch.select([0, 1]))
-                for a, b in text_slices(batch.column(2)):
-                    words, at = word_hashes(batch.column(2).slice(a, b - a), strip=PUNCTUATION)
+                for a, b in text_slices(batch.column(text)):
+                    words, at = word_hashes(batch.column(text).slice(a, b - a), strip=PUNCTUATION)
                     if len(items.ids) and len(words):
-                        pool.add(words, at, np.arange(before + a, before + b))
-                before += batch.num_rows
-                if pool.size >= POOL:
+                        pool.add(words, at, np.arange(n + a, n + b))
+                held.append(batch)
+                n, size = n + batch.num_rows, size + batch.nbytes
+                if pool.size >= POOL or size >= HELD_BYTES:
                     yield from close()
-                    keys, before = [], 0
-            if keys:
-                yield from close()
+                    held, n, size = [], 0, 0
+            yield from close()
 
-        part = rows.mapInArrow(search, schema)
-        found = part if found is None else found.union(part)
-    best = F.min(F.struct("distance", "first_word", "n_words")).alias("best")
-    return found.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "best.first_word", "best.n_words", "best.distance")
+        rows = rows.mapInArrow(search, rows.schema)
+        if k + 1 < passes:
+            rows = via_table(rows, "decontaminate-pass")
+    return rows
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``doc_id, contaminated, items, distance``: one row for every row of ``docs``; the matched
     items' ids in order (as many as the benchmark has, at most) and the smallest distance."""
-    hits = via_table(contaminated_windows(docs, benchmark, **options), "decontaminate-hits")
-    per = hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.min("distance").alias("distance"))
-    per = per.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
-    out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_key").eqNullSafe(F.col("__key")), "left")
-    none = F.array().cast("array<bigint>")
-    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), "distance")
+    found = with_windows(docs.select("doc_id", "text"), benchmark, **options)
+    items = F.array_sort(F.transform("windows", lambda w: w["item_id"]))
+    return found.select("doc_id", (F.size("windows") > 0).alias("contaminated"), items.alias("items"), F.array_min(F.transform("windows", lambda w: w["distance"])).alias("distance"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a contaminated window, all their columns."""
-    hits = via_table(contaminated_windows(docs, benchmark, **options), "decontaminate-hits")
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
-    return docs.join(hits, same, "left_anti")
+    found = with_windows(docs, benchmark, out="__windows", **options)
+    return found.where(F.size("__windows") == 0).drop("__windows")

@@ -197,6 +197,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, least_chars: int = 20) -> Da
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = line_counts(docs, least_chars).where(F.col("n_docs") >= min_docs)
     counts = via_table(counts, "lines-counts")
     shards = max(1, -(-counts.count() // SHARD_KEYS))

@@ -224,9 +224,12 @@ THRESHOLD = 0.3
 
 
 def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``quality_score`` (double) to every row of ``docs``, trained on the labels outside the
+    """Adds ``quality_score`` (double; one that is there is replaced) to every row of ``docs``, trained on the labels outside the
     held-out fold. Rows are neither dropped nor joined: repeated and null ids have their own scores;
     only the text is read. An empty table gives an empty result."""
-    model = train(docs, labels.where(learns()), settings)
-    small_batches(docs.sparkSession)
-    return docs.withColumn("quality_score", score(F.col("text"), model))
+    return docs.withColumn("quality_score", score(F.col("text"), train(docs, labels.where(learns()), settings)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns and no other."""
+    return docs.where(score(F.col("text"), train(docs, labels.where(learns()), settings)) >= threshold)

@@ -79,7 +79,7 @@ def shard(
     bits: int = BITS,
 ) -> DataFrame:
     """Adds ``curve`` (place on the curve), ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless
-    from 0 in each shard).
+    from 0 in each shard); columns of these names that are there are replaced.
 
     Rows are ordered by curve place and ``ties``; the order is cut into runs of equal row counts, at
     most one apart (``law="rows"``), or of nearly equal sizes (``law="bytes"``: a row goes to the run
@@ -89,6 +89,7 @@ def shard(
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law: {law}")
+    rows = rows.drop("curve", "shard", "slot")
     keyed = rows.select("*", curve(dimensions, bits).alias("curve"), size.cast("bigint").alias("__size"))
     placed = ranked(keyed, [F.col("curve"), *ties], "shards")
     counted = before(placed, [], {"__rows": F.lit(1), "__bytes": F.col("__size")}).withColumnRenamed("__part", "__p")
