@@ -205,7 +205,8 @@ def verified(clusters: DataFrame, docs: DataFrame, threshold: float) -> DataFram
     its copies) and ``node, 0, other``: edges that connect what is linked."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = via_table(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "jaccard-sizes")
-    texts = docs.join(clusters, "row_id").select("node", "root", "n_copies", "text")
+    # Members are a share of all documents: their list is not to be broadcast at some size.
+    texts = docs.join(clusters.hint("merge"), "row_id").select("node", "root", "n_copies", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +325,7 @@ def representatives(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     staying = via_table(best.select("best.doc_id", "best.text_key"), "jaccard-staying")
     leaving = leaving.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__key"))
-    kept = docs.join(via_table(leaving, "jaccard-leaving"), same, "left_anti")
+    kept = docs.join(via_table(leaving, "jaccard-leaving").hint("merge"), same, "left_anti")
     # Repeated rows of one id and text that stay: one of them.
     again = docs.groupBy(F.col("doc_id").cast("long").alias("__id"), key.alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     again = again.join(staying, again["__id"].eqNullSafe(staying["doc_id"]) & (again["__key"] == staying["text_key"])).select("__id", "__key")
