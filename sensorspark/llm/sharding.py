@@ -94,8 +94,8 @@ def shard(
     placed = ranked(keyed, [F.col("curve"), *ties], "shards")
     counted = before(placed, [], {"__rows": F.lit(1), "__bytes": F.col("__size")}).withColumnRenamed("__part", "__p")
     total = placed.agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum("__size"), F.lit(0)).alias("__all")).first()
-    # One row for each part.
-    out = placed.join(counted, F.col("__part") == F.col("__p"))
+    # One row for each part: as many as the session's shuffle partitions, at most.
+    out = placed.join(F.broadcast(counted), F.col("__part") == F.col("__p"))
     rank = F.col("__rows") + F.col("__pos")
     if law == "rows":
         # Run k begins at ceil(k * n / shards): floor(rank * shards / n) inverts that.
