@@ -140,7 +140,8 @@ def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
                     ["y", "turn", "ids", "shares"],
                 )
 
-    rows = docs.join(sample, F.col("doc_id") == F.col("__id")).select("text", "y", "turn").mapInArrow(sparse, "y int, turn double, ids binary, shares binary")
+    # The sample has a bound, so it goes to the documents and not they to it.
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "y", "turn").mapInArrow(sparse, "y int, turn double, ids binary, shares binary")
     return via_table(rows.withColumn("part", F.pmod(F.xxhash64("turn"), F.lit(s.parts)).cast("int")), "quality-sample")
 
 
