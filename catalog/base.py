@@ -96,12 +96,17 @@ BASE = f"base AS (SELECT * FROM r WHERE reading_ts < TIMESTAMP '{SPLIT_AT}')"
 CUR = f"cur AS (SELECT * FROM r WHERE reading_ts >= TIMESTAMP '{SPLIT_AT}')"
 
 
-def source(df: DataFrame, name: str) -> DataFrame:
-    return df.where(F.col("source") == name)
+def source_a(df: DataFrame) -> DataFrame:
+    return df.where(F.col("source") == "view")
+
+
+def source_b(df: DataFrame) -> DataFrame:
+    """Every reading that the first source doesn't have."""
+    return df.where(F.col("source") != "view")
 
 
 SRC_A = "a AS (SELECT * FROM rt WHERE source = 'view')"
-SRC_B = "b AS (SELECT * FROM rt WHERE source = 'click')"
+SRC_B = "b AS (SELECT * FROM rt WHERE source <> 'view')"
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from sensorspark.operators.evaluate import (
     evl_classification,
     evl_double,
     evl_min_samples,
+    roc_points,
     evl_overfit_gap,
     evl_regression,
     evl_roc_auc,
@@ -56,8 +57,7 @@ def regression_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(
         *SCORED,
         f"e AS (SELECT sensor_id, {REG} FROM p GROUP BY sensor_id)",
-        """SELECT sensor_id, n, CASE WHEN n < 20 THEN 999.0 ELSE rmse END AS rmse, mae,
-        CASE WHEN n < 20 THEN 0.0 ELSE r2 END AS r2 FROM e""",
+        "SELECT sensor_id, n, rmse, mae, r2, n < 20 AS too_few FROM e",
     ),
     rounds=METRICS,
 )
@@ -110,6 +110,24 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evl_roc_auc(p)
 
 
+@query(
+    "evl_roc_points",
+    with_(
+        *SCORED,
+        f"""g AS (SELECT round(prediction, 4) AS threshold, count(*) FILTER (count > {BUSY_T}) AS a,
+          count(*) FILTER (count <= {BUSY_T}) AS b FROM p GROUP BY 1)""",
+        """SELECT threshold, sum(b) OVER (ORDER BY threshold DESC) / (sum(b) OVER ())::DOUBLE AS fpr,
+        sum(a) OVER (ORDER BY threshold DESC) / (sum(a) OVER ())::DOUBLE AS tpr FROM g""",
+    ),
+    rounds=["threshold", "fpr", "tpr"],
+)
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profile_scored(spark, sf_dir).select(
+        (F.col("count") > BUSY_T).cast("int").alias("affluence"), F.round("prediction", 4).alias("score")
+    )
+    return roc_points(p)
+
+
 @query(
     "evl_double",
     with_(
@@ -162,9 +180,8 @@ def retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
         .replace("reading_ts < TIMESTAMP '2024-01-22 00:00:00'", "reading_ts < (SELECT c FROM cut)")
         .replace("reading_ts >= TIMESTAMP '2024-01-22 00:00:00'", "reading_ts >= (SELECT c FROM cut)"),
         f"e AS (SELECT sensor_id, {REG} FROM p GROUP BY sensor_id)",
-        """e2 AS (SELECT sensor_id, n, CASE WHEN n < 10 THEN 999.0 ELSE rmse END AS rmse, mae,
-           CASE WHEN n < 10 THEN 0.0 ELSE r2 END AS r2 FROM e)""",
-        f"SELECT *, {BRANCH} FROM (SELECT *, CASE WHEN r2 < 0.45 OR rmse > 90 THEN 'reactive' ELSE 'ok' END AS decision FROM e2)",
+        "e2 AS (SELECT sensor_id, n, rmse, mae, r2, n < 10 AS too_few FROM e)",
+        f"SELECT *, {BRANCH} FROM (SELECT *, CASE WHEN too_few OR r2 < 0.45 OR rmse > 90 THEN 'reactive' ELSE 'ok' END AS decision FROM e2)",
     ),
     rounds=METRICS,
 )

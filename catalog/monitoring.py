@@ -33,9 +33,11 @@ from sensorspark.operators.metrics import (
     mon_histogram_quantile,
     mon_r2_vs_drift,
     mon_rate_increase,
+    mon_rule_samples,
     mon_reduce_last,
     mon_success_rate,
     mon_threshold,
+    mon_up,
 )
 from sensorspark.operators.profile import agg_http_rollup
 
@@ -169,7 +171,7 @@ def reduce_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULE_VALUES = "rules AS (SELECT * FROM (VALUES {}) AS v(rule, metric, evaluator, low, high, lookback_s, for_s, no_data, severity))".format(
     ", ".join(
-        f"('{r}', '{m}', '{e}', {lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE, {lb}, {f}, '{nd}', '{sv}')"
+        f"('{r}', '{m}', '{e}', {lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE, {lb}::BIGINT, {f}::BIGINT, '{nd}', '{sv}')"
         for r, m, e, lo, hi, lb, f, nd, sv in ALERT_RULES
     )
 )
@@ -177,18 +179,6 @@ BREACH = """CASE evaluator WHEN 'lt' THEN value < low WHEN 'gt' THEN value > low
     WHEN 'within_range' THEN value > low AND value < high END"""
 
 
-@query(
-    "mon_threshold",
-    with_(G, LAST, RULE_VALUES, f"SELECT rule, instance, value, last_ts, severity, {BREACH} AS breach FROM l JOIN rules USING (metric)"),
-)
-def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gauges(spark, sf_dir)
-    last = mon_reduce_last(g, newest(g, "ts"), "3 DAYS")
-    return mon_threshold(last, alert_rules(spark)).select(
-        "rule", "instance", "value", "last_ts", "severity", "breach"
-    )
-
-
 @query(
     "mon_and_match",
     with_(
@@ -206,16 +196,63 @@ def and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("metric")
 
 
-def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every gauge sample against its rules."""
-    return mon_threshold(gauges(spark, sf_dir), alert_rules(spark)).select(
-        "rule", "instance", "ts", "breach"
+UNTIL = "2024-01-31 00:00:00"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples for all rules, from every log that there is."""
+    g = gauges(spark, sf_dir)
+    return mon_rule_samples(g, requests(spark, sf_dir), runs(spark, sf_dir), counters(spark, sf_dir), mon_up(g, UNTIL, "1 day"))
+
+
+SAMPLES = (
+    Q,
+    C,
+    RUNS,
+    INCREASE.format(w="1 HOUR"),
+    f"i AS ({STEPS.format(v=SUMMED + ' AS increase')})",
+    "u0 AS (SELECT DISTINCT instance, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS d FROM g)",
+    f"""u AS (SELECT f.instance, t.d FROM (SELECT instance, min(d) AS a FROM u0 GROUP BY 1) f,
+      LATERAL (SELECT unnest(generate_series(f.a, TIMESTAMP '{UNTIL}' - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d) t)""",
+    """sm AS (SELECT metric, instance, ts, value FROM g
+      UNION ALL SELECT 'drift_and_declining_r2', instance, ts, CASE WHEN value > 0.5 AND (instance, ts) IN
+        (SELECT (instance, ts) FROM g WHERE metric = 'model_r2_champion_current' AND value < 0.7) THEN value ELSE 0 END
+        FROM g WHERE metric = 'drift_share'
+      UNION ALL SELECT 'api_error_ratio', 'api', time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE,
+        count(*) FILTER (status_code >= 500) / count(*)::DOUBLE FROM q GROUP BY 3
+      UNION ALL SELECT 'run_duration_seconds', pipeline_id, end_ts, (epoch_us(end_ts) - epoch_us(start_ts)) / 1000000.0::DOUBLE FROM runs WHERE end_ts IS NOT NULL
+      UNION ALL SELECT 'records_ingested_increase_1h', instance, window_start + INTERVAL 1 HOUR, increase FROM i
+      UNION ALL SELECT 'up', instance, d + INTERVAL 1 DAY, CASE WHEN (instance, d) IN (SELECT (instance, d) FROM u0) THEN 1.0 ELSE 0.0 END FROM u)""",
+)
+
+
+@query("mon_rule_samples", with_(G, *SAMPLES, "SELECT * FROM sm"), rounds=["value"])
+def rule_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir)
+
+
+@query(
+    "mon_threshold",
+    with_(G, *SAMPLES, LAST.replace("FROM g", "FROM sm"), RULE_VALUES, f"SELECT rule, instance, value, last_ts, severity, {BREACH} AS breach FROM l JOIN rules USING (metric)"),
+)
+def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = samples(spark, sf_dir)
+    last = mon_reduce_last(g, newest(g, "ts"), "3 DAYS")
+    return mon_threshold(last, alert_rules(spark)).select(
+        "rule", "instance", "value", "last_ts", "severity", "breach"
     )
 
 
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample against its rules. Several runs of a pipeline can end at one time: one breach is
+    enough."""
+    found = mon_threshold(samples(spark, sf_dir), alert_rules(spark))
+    return found.groupBy("rule", "instance", "ts").agg(F.max("breach").alias("breach"))
+
+
 def _evaluated(until: str = "") -> tuple[str, ...]:
-    cols = f"rule, instance, ts, {BREACH} AS breach, for_s, lookback_s, no_data"
-    return G, RULE_VALUES, f"ev AS (SELECT {cols} FROM g JOIN rules USING (metric) {until})"
+    cols = f"rule, instance, ts, bool_or({BREACH}) AS breach, for_s, lookback_s, no_data"
+    return G, *SAMPLES, RULE_VALUES, f"ev AS (SELECT {cols} FROM sm JOIN rules USING (metric) {until} GROUP BY ALL)"
 
 
 NOW = "2024-01-30 23:30:00"
@@ -238,19 +275,21 @@ def for_duration_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alert_history(evaluations(spark, sf_dir), alert_rules(spark))
 
 
+LATEST = """SELECT rule, instance, ts AS last_ts, CASE WHEN breach THEN since END AS active_since,
+        CASE WHEN epoch_us(t) - epoch_us(ts) > 1000000 * lookback_s THEN
+            CASE no_data WHEN 'OK' THEN 'Normal' WHEN 'NoData' THEN 'NoData'
+              ELSE CASE WHEN epoch_us(t) - epoch_us(ts) >= for_s * 1000000 THEN 'Firing' ELSE 'Pending' END END
+          WHEN NOT breach THEN 'Normal' WHEN epoch_us(t) - epoch_us(since) >= for_s * 1000000 THEN 'Firing' ELSE 'Pending' END AS state
+        FROM (SELECT * FROM hb QUALIFY row_number() OVER (PARTITION BY rule, instance ORDER BY ts DESC) = 1), nw"""
+
+
 @query(
     "mon_for_duration",
     with_(
         *_evaluated(f"WHERE ts <= TIMESTAMP '{NOW}'"),
         HIST,
         f"nw AS (SELECT TIMESTAMP '{NOW}' AS t)",
-        """la AS (SELECT * FROM hb QUALIFY row_number() OVER (PARTITION BY rule, instance ORDER BY ts DESC) = 1)""",
-        """SELECT rule, instance, ts AS last_ts, CASE WHEN breach THEN since END AS active_since,
-        CASE WHEN epoch_us(t) - epoch_us(ts) > 1000000 * lookback_s THEN
-            CASE no_data WHEN 'OK' THEN 'Normal' WHEN 'NoData' THEN 'NoData'
-              ELSE CASE WHEN epoch_us(t) - epoch_us(ts) >= for_s * 1000000 THEN 'Firing' ELSE 'Pending' END END
-          WHEN NOT breach THEN 'Normal' WHEN epoch_us(t) - epoch_us(since) >= for_s * 1000000 THEN 'Firing' ELSE 'Pending' END AS state
-        FROM la, nw""",
+        LATEST,
     ),
 )
 def for_duration(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ from catalog.base import (
     readings,
     runs,
     shipments,
-    source,
+    source_a,
+    source_b,
     typed_readings,
     with_,
 )
@@ -103,7 +104,7 @@ PAIRS = (
 
 def keyed_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rt = typed_readings(spark, sf_dir)
-    return keyed(source(rt, "view")), keyed(source(rt, "click"))
+    return keyed(source_a(rt)), keyed(source_b(rt))
 
 
 @query(
@@ -271,14 +272,14 @@ def top_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
         BASE,
         CUR,
         """SELECT sensor_id, count(*) AS n_rows, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM base) AS pct,
-        sensor_id IN (SELECT sensor_id FROM cur WHERE count > 100) AS in_other
+        sensor_id IN (SELECT sensor_id FROM cur) AS in_other
         FROM base GROUP BY sensor_id ORDER BY n_rows DESC, sensor_id LIMIT 10""",
     ),
     rounds=["pct"],
 )
 def top_with_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
-    return win_top_with_membership(baseline(r), current(r).where(F.col("count") > 100))
+    return win_top_with_membership(baseline(r), current(r))
 
 
 @query("win_last_n_sorted", with_(R, "SELECT * FROM r ORDER BY reading_ts DESC, row_key LIMIT 500"))

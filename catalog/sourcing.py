@@ -126,13 +126,12 @@ def warehouse_window(spark: SparkSession, sf_dir: str) -> DataFrame:
         R,
         """SELECT sensor_id, reading_ts, count, row_key, CAST(reading_ts AS DATE) AS reading_date
         FROM r WHERE CAST(reading_ts AS DATE) < (SELECT CAST(max(reading_ts) AS DATE) FROM r)
-          AND CAST(reading_ts AS DATE) >= (SELECT CAST(max(reading_ts) AS DATE) - 7 FROM r)
-        QUALIFY row_number() OVER (PARTITION BY CAST(reading_ts AS DATE) ORDER BY reading_ts, row_key) <= 100""",
+          AND CAST(reading_ts AS DATE) >= (SELECT CAST(max(reading_ts) AS DATE) - 7 FROM r)""",
     ),
 )
 def daily_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = dated(readings(spark, sf_dir))
-    return src_daily_union(r, newest(r), order_by=("reading_ts", "row_key"))
+    return src_daily_union(r, newest(r))
 
 
 @query(
@@ -244,7 +243,7 @@ def schema_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "split")
-    train, test = spl_holdout(readings(spark, sf_dir), key="row_key")
+    train, test, *_ = spl_holdout(readings(spark, sf_dir), key="row_key")
     snk_csv_split(train, test, path, "1")
     back = [
         spark.read.csv(f"{path}/split_id=1/{part}", sep=";", header=True).select(

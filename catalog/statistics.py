@@ -17,7 +17,8 @@ from catalog.base import (
     current,
     query,
     readings,
-    source,
+    source_a,
+    source_b,
     table,
     typed_readings,
     with_,
@@ -46,12 +47,12 @@ from sensorspark.operators.stats import (
 
 def view_click(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rt = typed_readings(spark, sf_dir)
-    return source(rt, "view"), source(rt, "click")
+    return source_a(rt), source_b(rt)
 
 
 # Both distribution functions at each distinct value.
 CDF = (
-    "v AS (SELECT count AS x, count(*) FILTER (source = 'view') AS a, count(*) FILTER (source = 'click') AS b FROM rt WHERE source IN ('view', 'click') GROUP BY 1)",
+    "v AS (SELECT count AS x, count(*) FILTER (source = 'view') AS a, count(*) FILTER (source <> 'view') AS b FROM rt GROUP BY 1)",
     "w AS (SELECT x, a, b, sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM v)",
 )
 KS = """ks AS (SELECT CAST(max(na) AS BIGINT) AS n_a, CAST(max(nb) AS BIGINT) AS n_b,
@@ -141,7 +142,7 @@ def suppliers_by_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         F.col("l_quantity").alias("count"),
         "l_returnflag",
     )
-    return li.where("l_returnflag = 'A'").drop("l_returnflag"), li.where("l_returnflag = 'N'").drop("l_returnflag")
+    return li.where("l_returnflag = 'A'").drop("l_returnflag"), li.where("l_returnflag <> 'A'").drop("l_returnflag")
 
 
 @query(
@@ -149,7 +150,7 @@ def suppliers_by_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     with_(
         """pd AS (SELECT x.l_quantity AS count_a, y.l_quantity AS count_b FROM lineitem x JOIN lineitem y
            ON x.l_suppkey = y.l_suppkey AND x.l_shipdate = y.l_shipdate
-           WHERE x.l_returnflag = 'A' AND y.l_returnflag = 'N')""",
+           WHERE x.l_returnflag = 'A' AND y.l_returnflag <> 'A')""",
         QUALITY.format(pairs="pd"),
         f"SELECT *, {BAND} FROM mq",
     ),
@@ -256,7 +257,7 @@ JUDGED = """j AS (SELECT "column", 'numeric' AS kind, 'wasserstein' AS method, w
 
 @query("drf_column_drift", with_(D, JUDGED, "SELECT * FROM j"), rounds=["score"])
 def column_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drf_column_drift(*drift_sides(spark, sf_dir), method="distance")
+    return drf_column_drift(*drift_sides(spark, sf_dir))
 
 
 @query(
@@ -272,7 +273,7 @@ def column_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds=["drift_share"],
 )
 def dataset_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drf_dataset_drift(drf_column_drift(*drift_sides(spark, sf_dir), method="distance"))
+    return drf_dataset_drift(drf_column_drift(*drift_sides(spark, sf_dir)))
 
 
 @query(

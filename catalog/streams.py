@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalog.base import (
+    CUR,
     Q,
     R,
     SPLIT_AT,
@@ -21,7 +22,7 @@ from catalog.base import (
     with_,
 )
 from catalog.learning import fitted
-from catalog.monitoring import HIST, _evaluated, evaluations
+from catalog.monitoring import HIST, LATEST, _evaluated, evaluations
 from sensorspark.operators.metrics import alert_rules
 from sensorspark.session import scratch_path
 from sensorspark.streaming.flows import (
@@ -92,8 +93,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading arrives twice."""
     r = readings(spark, sf_dir).select("sensor_id", "reading_ts", "count")
-    out = streamed(spark, r.unionAll(r), "reading_ts", str_dedup)
-    return out.withColumn("reading_ts", F.col("reading_ts").cast("timestamp_ntz"))
+    return streamed(spark, r.unionAll(r), "reading_ts", str_dedup)
 
 
 @query(
@@ -108,8 +108,7 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds=["mean_count"],
 )
 def tumbling_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streamed(spark, readings(spark, sf_dir), "reading_ts", str_tumbling_rollup)
-    return out.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
+    return streamed(spark, readings(spark, sf_dir), "reading_ts", str_tumbling_rollup)
 
 
 @query(
@@ -126,18 +125,25 @@ def tumbling_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds=["error_pct"],
 )
 def sliding_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streamed(spark, requests(spark, sf_dir), "ts", str_sliding_error_rate)
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return streamed(spark, requests(spark, sf_dir), "ts", str_sliding_error_rate)
 
 
-@query("str_score")
+@query(
+    "str_score",
+    with_(
+        R,
+        CUR,
+        """SELECT sensor_id, reading_ts, count, 'v1' AS model_version, CAST(reading_ts AS DATE) AS pred_date, true AS scored FROM cur""",
+    ),
+)
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     model: PipelineModel = fitted(spark, sf_dir)
     rows = current(readings(spark, sf_dir))
     path, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "checkpoint")
     tags = {"model_version": "v1"}
     in_parts(spark, rows, "reading_ts", lambda s: str_score(s, model, path, checkpoint, tags))
-    return spark.read.parquet(path).drop("prediction_ts")
+    stored = spark.read.parquet(path).withColumn("scored", F.col("prediction").isNotNull())
+    return stored.drop("prediction_ts", "prediction")
 
 
 @query(
@@ -172,9 +178,8 @@ def late_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(
         *_evaluated(),
         HIST,
-        """SELECT rule, instance, ts AS last_ts, CASE WHEN breach THEN since END AS active_since,
-        CASE WHEN NOT breach THEN 'Normal' WHEN epoch_us(ts) - epoch_us(since) >= for_s * 1000000 THEN 'Firing' ELSE 'Pending' END AS state
-        FROM hb QUALIFY row_number() OVER (PARTITION BY rule, instance ORDER BY ts DESC) = 1""",
+        "nw AS (SELECT max(ts) AS t FROM ev)",
+        LATEST,
     ),
 )
 def alert_for(spark: SparkSession, sf_dir: str) -> DataFrame:

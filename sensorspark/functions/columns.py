@@ -9,7 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.schema import LOCAL_TIME_ZONE, YEAR_INDEX
+from sensorspark.schema import LOCAL_TIME_ZONE, YEAR_BASE, YEAR_INDEX
 
 # Accepted spellings of a reading timestamp, most specific first.
 OFFSET_FORMATS = [
@@ -38,15 +38,27 @@ def interval(amount: float, unit: str) -> Column:
 
 def utc_timestamp(text: Column, formats: Sequence[str] | None = None) -> Column:
     """Text in mixed formats to UTC wall time (no zone); null when nothing fits. Text without an
-    offset is taken as UTC."""
+    offset is taken as UTC. Texts are parsed with an offset, theirs or ``Z``, so they name instants
+    and the session's zone plays no part."""
     formats = [*OFFSET_FORMATS, *PLAIN_FORMATS] if formats is None else formats
     tries = []
     for fmt in formats:
-        wall = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
         if fmt.rstrip("]").endswith(("X", "Z", "x")):
-            wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall)
-        tries.append(wall)
-    return F.coalesce(*tries)
+            tries.append(F.try_to_timestamp(text, F.lit(fmt)))
+        else:
+            tries.append(F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(fmt + "XXX")))
+    return utc_wall(F.coalesce(*tries))
+
+
+def utc_wall(instant: Column) -> Column:
+    """The UTC wall time of a zoned timestamp."""
+    seconds = (F.unix_micros(instant) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def utc_instant(wall: Column) -> Column:
+    """The zoned timestamp whose UTC wall time is given."""
+    return F.timestamp_micros(micros(wall))
 
 
 def local_time(ts: Column, tz: str = LOCAL_TIME_ZONE) -> Column:
@@ -59,8 +71,8 @@ def cyclic(col: Column, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def year_index(year: Column, base: int | None = None) -> Column:
-    """Year as a small index; with ``base`` any year is mapped, otherwise only the known ones."""
+def year_index(year: Column, base: int | None = YEAR_BASE) -> Column:
+    """Year as a small index, counted from ``base``; without one only the known years have any."""
     if base is not None:
         return (year - F.lit(base)).cast("int")
     out = F.lit(None).cast("int")

@@ -153,7 +153,12 @@ def ranked_values(
     """``by..., x, n, cum, cum_total``: distinct values with cumulative and total row counts. With
     ``nulls`` a group's null values keep a row of their own; they rank nowhere."""
     points = split_points(df, col) if points is None else points
-    counts = value_counts(df, by, col, nulls)
+    return ranked_counts(value_counts(df, by, col, nulls), by, points, nulls)
+
+
+def ranked_counts(counts: DataFrame, by: Sequence[str], points: Sequence[float] | None = None, nulls: bool = False) -> DataFrame:
+    """``ranked_values`` from value counts that are there already."""
+    points = split_points(counts, "x") if points is None else points
     valued = F.when(F.col("x").isNotNull(), F.col("n")).otherwise(F.lit(0)) if nulls else F.col("n")
     return running(
         with_bucket(counts, "x", points), by, "x", measures={"cum": ("sum", valued)}
@@ -238,6 +243,14 @@ def hash_cut(
     )
 
 
+def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
+    """Left join of rows to a frame with one row per key. Each key is cut into ``salts`` parts on the
+    side of the rows and repeated as often on the other, so one key's rows meet in many tasks."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", salt).join(repeated, [*keys, "__salt"], "left").drop("__salt")
+
+
 def top_k_per_group(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, salts: int = 64
 ) -> DataFrame:

@@ -56,14 +56,15 @@ def dec_retrain(
 ) -> DataFrame:
     """``decision`` (force, reactive, proactive, wait, ok) and the ``branch`` it leads to.
 
-    Reads ``r2``, ``rmse`` and, where present, ``force``, ``drift_detected``, ``drift_share`` and
-    ``drift_status``; a failed drift run counts as no drift."""
+    Reads ``r2``, ``rmse`` and, where present, ``too_few`` (metrics that cannot be relied on, as good
+    as bad ones), ``force``, ``drift_detected``, ``drift_share`` and ``drift_status``; a failed drift
+    run counts as no drift."""
     r2, rmse = F.col("r2"), F.col("rmse")
     drift = _optional(df, "drift_detected", False) & (_optional(df, "drift_status", "ok") == "ok")
     share = _optional(df, "drift_share", 0.0)
     decision = (
         F.when(_optional(df, "force", False), "force")
-        .when((r2 < r2_critical) | (rmse > rmse_max), "reactive")
+        .when(_optional(df, "too_few", False) | (r2 < r2_critical) | (rmse > rmse_max), "reactive")
         .when(drift & (share >= drift_critical) & (r2 < r2_warning), "proactive")
         .when(drift & (share >= drift_warning), "wait")
         .otherwise("ok")

@@ -18,8 +18,6 @@ from sensorspark.schema import ROLES, Roles
 
 # How each method calls a column drifted.
 THRESHOLDS = {"ks": 0.05, "chi_square": 0.05, "wasserstein": 0.1, "jensen_shannon": 0.1}
-# Up to this many reference rows "auto" tests by p-value, beyond it by distance.
-SMALL_DATA_ROWS = 1000
 PSI_FLOOR = 0.0001
 
 
@@ -41,7 +39,14 @@ def _long(df: DataFrame, cols: Sequence[str], side: int, to: str) -> DataFrame:
 def numeric_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
     """KS distance and p-value, and the Wasserstein distance in units of the reference's standard
     deviation, per numeric column. Side a is the reference."""
-    both = _long(reference, cols, 1, "double").unionAll(_long(current, cols, 0, "double"))
+    # Both sides are moved to the reference's means: distances stay, and the spread of values far
+    # from 0 keeps its digits.
+    means = reference.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)]).first()
+
+    def centred(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(f"`{c}`").cast("double") - F.lit(means[i] or 0.0)).alias(c) for i, c in enumerate(cols)])
+
+    both = _long(centred(reference), cols, 1, "double").unionAll(_long(centred(current), cols, 0, "double"))
     cum = cumulated_sides(both, ["column"])
     x, na = F.col("x"), F.col("n_a")
     mean = F.sum(na * x) / F.sum(na)
@@ -102,38 +107,30 @@ def drf_column_drift(
     reference: DataFrame,
     current: DataFrame,
     cols: Sequence[str] | None = None,
-    method: str = "auto",
+    method: str = "distance",
     thresholds: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """One row per column: kind, method, score, threshold, drifted, row counts.
 
-    ``auto`` takes p-values (KS, chi-square) for a reference of up to 1000 rows and distances
-    (Wasserstein, Jensen-Shannon) beyond; ``p_value`` and ``distance`` force one of them. Every
-    numeric column is handled in one pass, every categorical column in another."""
+    ``distance`` judges by Wasserstein and Jensen-Shannon distance, ``p_value`` by KS and chi-square
+    tests, at every size. Every numeric column is handled in one pass, every categorical column in
+    another."""
     limits = {**THRESHOLDS, **(thresholds or {})}
     cols = list(cols) if cols is not None else common_columns(reference, current)
     numeric = [c for c in cols if _is_numeric(reference, c) and _is_numeric(current, c)]
     categorical = [c for c in cols if c not in numeric]
-    if method not in ("auto", "p_value", "distance"):
+    if method not in ("p_value", "distance"):
         raise ValueError(f"method: {method}")
-    small = {
-        "auto": F.col("n_reference") <= SMALL_DATA_ROWS,
-        "p_value": F.lit(True),
-        "distance": F.lit(False),
-    }[method]
 
     def judged(df: DataFrame, kind: str, by_p: tuple[str, str], by_distance: tuple[str, str]) -> DataFrame:
-        def pick(i: int) -> Column:
-            return F.when(small, F.lit(by_p[i])).otherwise(F.lit(by_distance[i]))
-
-        score = F.when(small, F.col(by_p[1])).otherwise(F.col(by_distance[1]))
-        limit = F.when(small, F.lit(limits[by_p[0]])).otherwise(F.lit(limits[by_distance[0]]))
-        drifted = F.when(small, F.col(by_p[1]) < limit).otherwise(F.col(by_distance[1]) >= limit)
+        name, col = by_p if method == "p_value" else by_distance
+        limit = F.lit(limits[name])
+        drifted = F.col(col) < limit if method == "p_value" else F.col(col) >= limit
         return df.select(
             "column",
             F.lit(kind).alias("kind"),
-            pick(0).alias("method"),
-            score.alias("score"),
+            F.lit(name).alias("method"),
+            F.col(col).alias("score"),
             limit.alias("threshold"),
             F.coalesce(drifted, F.lit(False)).alias("drifted"),
             "n_reference",
@@ -174,7 +171,7 @@ def drf_dataset_drift(col_drift: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def drf_schema_drift(
-    reference: DataFrame, current: DataFrame, share: float = 0.5, method: str = "auto"
+    reference: DataFrame, current: DataFrame, share: float = 0.5, method: str = "distance"
 ) -> DataFrame:
     """Dataset drift with the schema gate in front: without a common column everything drifted."""
     if [c for c in reference.columns if c in current.columns]:

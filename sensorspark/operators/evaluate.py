@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from sensorspark.functions.columns import divide
 from sensorspark.operators.stats import cumulated_sides, rank_columns
 
-# Metrics of a group with too few rows, and the gates used by decisions.
-RMSE_TOO_FEW = 999.0
-R2_TOO_FEW = 0.0
+# The gates used by decisions.
 MIN_SAMPLES = 10
 R2_FLOOR = 0.60
 OVERFIT_LIMIT = 0.35
@@ -32,11 +30,11 @@ def evl_regression(
     rows = df.dropna(subset=[y, pred])
     w = F.lit(1) if weight is None else F.col(weight)
     a, e = F.col(y).cast("double"), F.col(y).cast("double") - F.col(pred).cast("double")
-    spread = (
-        F.var_pop(a) * F.count(a)
-        if weight is None
-        else F.sum(w * a * a) - F.sum(w * a) * F.sum(w * a) / F.sum(w)
-    )
+    if weight is None:
+        spread = F.var_pop(a) * F.count(a)
+    else:  # around the mean of all rows, so that values far from 0 keep their digits
+        d = a - rows.agg(F.avg(y)).scalar()
+        spread = F.sum(w * d * d) - F.sum(w * d) * F.sum(w * d) / F.sum(w)
     sums = rows.groupBy(*by).agg(
         F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("n"),
         F.sum(w * e * e).alias("sse"),
@@ -58,14 +56,9 @@ def evl_regression(
 
 
 def evl_min_samples(metrics: DataFrame, n: int = MIN_SAMPLES) -> DataFrame:
-    """Groups with fewer than ``n`` rows get fixed bad metrics."""
-    few = F.col("n") < n
-    return metrics.withColumns(
-        {
-            "rmse": F.when(few, RMSE_TOO_FEW).otherwise(F.col("rmse")),
-            "r2": F.when(few, R2_TOO_FEW).otherwise(F.col("r2")),
-        }
-    )
+    """Adds ``too_few`` for groups with fewer than ``n`` rows; the metrics stay as they are, and
+    decisions read the flag."""
+    return metrics.withColumn("too_few", F.col("n") < n)
 
 
 def evl_classification(

@@ -19,12 +19,12 @@ from sensorspark.operators.clean import (
     prj_drop_unused,
     prj_split_coords,
 )
-from sensorspark.schema import LOCAL_TIME_ZONE, Roles
+from sensorspark.schema import LOCAL_TIME_ZONE, YEAR_BASE, Roles
 
 NUMERIC_FEATURES = ["day", "year_idx", "hour_sin", "hour_cos", "month_sin", "month_cos"]
 
 
-def ml_cyclical_features(df: DataFrame, year_base: int | None = None) -> DataFrame:
+def ml_cyclical_features(df: DataFrame, year_base: int | None = YEAR_BASE) -> DataFrame:
     """sin/cos of hour and month and the year index; hour and month themselves go."""
     hour_sin, hour_cos = cyclic(F.col("hour"), 24)
     month_sin, month_cos = cyclic(F.col("month"), 12)
@@ -64,13 +64,13 @@ class CleanReadings(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 class TimeFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """``ml_cyclical_features`` as a stage; hour and month are kept where ``keepParts`` is set."""
 
-    yearBase = Param(Params._dummy(), "yearBase", "first year, -1: known years", TypeConverters.toInt)
+    yearBase = Param(Params._dummy(), "yearBase", "year of index 0, -1: known years only", TypeConverters.toInt)
     keepParts = Param(Params._dummy(), "keepParts", "keep hour and month", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, *, yearBase: int = -1, keepParts: bool = False):
+    def __init__(self, *, yearBase: int = YEAR_BASE, keepParts: bool = False):
         super().__init__()
-        self._setDefault(yearBase=-1, keepParts=False)
+        self._setDefault(yearBase=YEAR_BASE, keepParts=False)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -84,11 +84,11 @@ class TimeFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return out.drop("__h", "__m")
 
 
-def clean_stages(year_base: int = -1, keep_parts: bool = False) -> list[Transformer]:
+def clean_stages(year_base: int = YEAR_BASE, keep_parts: bool = False) -> list[Transformer]:
     return [CleanReadings(), TimeFeatures(yearBase=year_base, keepParts=keep_parts)]
 
 
-def ml_clean_pipeline(year_base: int = -1) -> Pipeline:
+def ml_clean_pipeline(year_base: int = YEAR_BASE) -> Pipeline:
     return Pipeline(stages=clean_stages(year_base))
 
 
@@ -135,7 +135,7 @@ def ml_standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
 def feature_stages(
     with_sensor: bool = True,
     extra: Sequence[str] = (),
-    year_base: int = -1,
+    year_base: int = YEAR_BASE,
     sensor_as: str = "one_hot",
 ) -> list:
     """The fixed feature set: weekday and sensor one-hot, six scaled numbers, extra numbers as they
@@ -173,7 +173,7 @@ def feature_stages(
 
 
 def ml_assemble(
-    df: DataFrame, features: Sequence[str] | None = None, year_base: int = -1
+    df: DataFrame, features: Sequence[str] | None = None, year_base: int = YEAR_BASE
 ) -> DataFrame:
     """Readings with their feature vector: the fixed set, or the named numeric columns."""
     if features is not None:

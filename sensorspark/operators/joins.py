@@ -65,6 +65,7 @@ def jn_source_match(
             F.count(roles.value).alias(f"n_{s}"),
             F.sum(v).alias(f"sum_{s}"),
             F.sum(v * v).alias(f"sum2_{s}"),
+            (F.var_pop(v) * F.count(v)).alias(f"dev2_{s}"),
         )
 
     return (

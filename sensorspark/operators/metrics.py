@@ -29,8 +29,9 @@ AUDIT_GAUGES = {
     "drift_share": "drift_share",
 }
 
-# The alert rules. Columns: rule, metric, evaluator, low, high, look-back seconds,
-# for seconds, no-data policy, severity.
+# The alert rules under this library's own names; bounds, durations and no-data policies are fixed
+# values. Columns: rule, metric, evaluator, low, high, look-back seconds, for seconds, no-data policy,
+# severity.
 ALERT_RULES = [
     ("model_performance_critical", "model_r2_champion_current", "lt", 0.65, None, 600, 300, "NoData", "critical"),
     ("model_performance_warning", "model_r2_champion_current", "within_range", 0.65, 0.70, 600, 600, "NoData", "warning"),
@@ -177,6 +178,70 @@ def mon_success_rate(runs: DataFrame, by: Sequence[str] = ("pipeline_id",)) -> D
     )
 
 
+def mon_up(scrapes: DataFrame, now: Column | datetime | str, every: str = "1 minute") -> DataFrame:
+    """Liveness as samples ``metric, instance, ts, value``: for each stretch of ``every`` from an
+    instance's first scrape to now 1 if it was scraped, else 0, at the stretch's end."""
+    start = F.window("ts", every).getField("start")
+    seen = scrapes.where(F.col("ts") < ts_of(now)).select("instance", start.alias("__start")).distinct()
+    first = seen.groupBy("instance").agg(F.min("__start").alias("__first"))
+    ends = F.sequence("__first", ts_of(now) - interval_of(every), interval_of(every))
+    grid = first.select("instance", F.explode(ends).alias("__start"))
+    value = F.when(F.col("up").isNotNull(), 1.0).otherwise(0.0)
+    return grid.join(seen.withColumn("up", F.lit(1)), ["instance", "__start"], "left").select(
+        F.lit("up").alias("metric"), "instance", (F.col("__start") + interval_of(every)).alias("ts"), value.alias("value")
+    )
+
+
+def mon_rule_samples(
+    gauges: DataFrame | None = None,
+    requests: DataFrame | None = None,
+    runs: DataFrame | None = None,
+    ingested: DataFrame | None = None,
+    up: DataFrame | None = None,
+) -> DataFrame:
+    """What the rules read, ``metric, instance, ts, value``: model gauges as they are, drift where R²
+    declines with it (0 where it doesn't), the share of failed requests in 5 minutes, durations of
+    runs that ended, what came in within an hour, and liveness."""
+    cols = ["metric", F.col("instance").cast("string").alias("instance"), "ts", F.col("value").cast("double").alias("value")]
+    parts = []
+    if gauges is not None:
+        parts.append(gauges.select(*cols))
+        drift, r2 = (gauges.where(F.col("metric") == m) for m in ("drift_share", "model_r2_champion_current"))
+        high = F.col("value") > 0.5
+        both = mon_and_match(drift, r2, ["instance", "ts"], high, F.col("value") < 0.70)
+        fine = drift.join(both.select("instance", "ts").distinct(), ["instance", "ts"], "left_anti").withColumn("value", F.lit(0.0))
+        low = drift.join(both.select("instance", "ts").distinct(), ["instance", "ts"], "left_semi").where(~high).withColumn("value", F.lit(0.0))
+        parts += [x.withColumn("metric", F.lit("drift_and_declining_r2")).select(*cols) for x in (both, fine, low)]
+    if requests is not None:
+        ratio = mon_error_ratio(requests, "5 minutes").select(
+            F.lit("api_error_ratio").alias("metric"), F.lit("api").alias("instance"),
+            (F.col("window_start") + interval_of("5 minutes")).alias("ts"), (F.col("errors") / F.col("requests")).alias("value"),
+        )
+        parts.append(ratio.select(*cols))
+    if runs is not None:
+        took = runs.where(F.col("end_ts").isNotNull()).select(
+            F.lit("run_duration_seconds").alias("metric"), F.col("pipeline_id").alias("instance"), F.col("end_ts").alias("ts"),
+            seconds_between(F.col("end_ts"), F.col("start_ts")).alias("value"),
+        )
+        parts.append(took.select(*cols))
+    if ingested is not None:
+        grown = mon_rate_increase(ingested, "1 hour", "increase").select(
+            F.lit("records_ingested_increase_1h").alias("metric"), "instance",
+            (F.col("window_start") + interval_of("1 hour")).alias("ts"), F.col("increase").alias("value"),
+        )
+        parts.append(grown.select(*cols))
+    if up is not None:
+        parts.append(up.select(*cols))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def interval_of(text: str) -> Column:
+    return F.expr(f"INTERVAL {text}")
+
+
 def mon_reduce_last(
     metrics: DataFrame,
     now: Column | datetime | str,
@@ -271,9 +336,11 @@ def mon_for_duration(
     rules: DataFrame,
     now: Column | datetime | str,
     by: Sequence[str] = ("rule", "instance"),
+    expected: DataFrame | None = None,
 ) -> DataFrame:
     """State of every alert now: a condition fires when it has held without a break for the rule's
-    duration. A series without an evaluation in the rule's look-back takes its no-data policy.
+    duration. A series without an evaluation in the rule's look-back takes its no-data policy, and so
+    does a series of ``expected`` (its ``by`` columns) that was never evaluated.
 
     Two aggregations give the answer, the last evaluation that was fine and the first breach after
     it; nothing is sorted."""
@@ -292,13 +359,23 @@ def mon_for_duration(
         .groupBy(*by)
         .agg(F.min("ts").alias("since"))
     )
-    joined = last.join(since, by, "left").join(rules.select("rule", "for_s", "lookback_s", "no_data"), "rule")
-    silent = seconds_between(t, F.col("last_ts")) > F.col("lookback_s")
-    held = seconds_between(t, F.col("since"))
+    known = last.join(since, by, "left")
+    if expected is not None:
+        known = known.unionByName(expected.select(*by).distinct().join(last.select(*by), by, "left_anti"), allowMissingColumns=True)
+    return state_now(known, rules, t, by)
+
+
+def state_now(known: DataFrame, rules: DataFrame, now: Column, by: Sequence[str] = ("rule", "instance")) -> DataFrame:
+    """States at ``now`` of alerts with their last evaluation (``last_ts``, ``breach``) and the time
+    since which the condition has held (``since``)."""
+    joined = known.join(rules.select("rule", "for_s", "lookback_s", "no_data"), "rule")
+    quiet_for = seconds_between(now, F.col("last_ts"))
+    silent = F.col("last_ts").isNull() | (quiet_for > F.col("lookback_s"))
+    held = seconds_between(now, F.col("since"))
     state = (
         F.when(silent & (F.col("no_data") == "OK"), "Normal")
         .when(silent & (F.col("no_data") == "NoData"), "NoData")
-        .when(silent, F.when(seconds_between(t, F.col("last_ts")) >= F.col("for_s"), "Firing").otherwise("Pending"))
+        .when(silent, F.when(F.col("last_ts").isNull() | (quiet_for >= F.col("for_s")), "Firing").otherwise("Pending"))
         .when(~F.col("breach"), "Normal")
         .when(held >= F.col("for_s"), "Firing")
         .otherwise("Pending")

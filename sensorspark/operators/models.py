@@ -21,14 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import ts_of
-from sensorspark.functions.ordering import hash_order
+from sensorspark.functions.ordering import hash_order, salted_join
 from sensorspark.operators.clean import prj_calendar_parts
 from sensorspark.operators.combine import set_concat_align, set_schema_gate
 from sensorspark.operators.evaluate import evl_regression
 from sensorspark.operators.features import clean_stages, feature_stages
 from sensorspark.operators.split import spl_holdout
-from sensorspark.schema import LOCAL_TIME_ZONE, ROLES, Roles
+from sensorspark.schema import LOCAL_TIME_ZONE, ROLES, YEAR_BASE, Roles
 
+MIN_CURRENT_ROWS = 200  # fixed value: current rows below this are not trained on
 ABLATION_MARGIN = 0.05  # fixed value: R² differences below this do not count
 
 
@@ -39,7 +40,7 @@ def ml_rf_regressor(
     seed: int = 42,
     with_sensor: bool = True,
     extra: Sequence[str] = (),
-    year_base: int = -1,
+    year_base: int = YEAR_BASE,
     sensor_as: str = "one_hot",
     **params,
 ) -> Pipeline:
@@ -90,7 +91,7 @@ def ml_rf_classifier(
 
 
 def ml_embedding_regressor(
-    factor_size: int = 8, label: str = "count", seed: int = 42, year_base: int = -1, **params
+    factor_size: int = 8, label: str = "count", seed: int = 42, year_base: int = YEAR_BASE, **params
 ) -> Pipeline:
     """A learned vector per sensor: factorization machine over one-hot sensors and scaled numbers."""
     fm = FMRegressor(
@@ -103,8 +104,7 @@ def ml_embedding_regressor(
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores for fitting, which passes over them many times: a frame read from few
     files would keep most of the cluster idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 @dataclass
@@ -113,6 +113,7 @@ class TrainResult:
     train: DataFrame
     test_current: DataFrame
     sliding_window: bool
+    reason: str
 
 
 def ml_train_window(
@@ -120,18 +121,22 @@ def ml_train_window(
     current: DataFrame | None,
     estimator: Pipeline,
     key: Sequence[str] = ("sensor_id", "reading_ts"),
+    min_rows: int = MIN_CURRENT_ROWS,
 ) -> TrainResult:
-    """Fit on the baseline plus 80 % of current data; on the baseline alone when current data is
-    too small or its columns differ too much. The held-out 20 % comes back for evaluation."""
-    train, test, sliding = baseline, None, False
+    """Fit on the baseline plus 80 % of current data; on the baseline alone, with the ``reason``, when
+    current data is absent, has fewer than ``min_rows`` rows or too different columns. All current
+    rows that are not trained on come back for evaluation."""
+    train, test, reason = baseline, baseline.limit(0), "no current data"
     if current is not None:
-        part, test = spl_holdout(current, key=key)
-        sliding = set_schema_gate(baseline, current) and not part.isEmpty()
-        if sliding:
-            train = set_concat_align(baseline, part)
-    if test is None:
-        test = baseline.limit(0)
-    return TrainResult(estimator.fit(spread(train)), train, test, sliding)
+        split = spl_holdout(current, key=key)
+        test, reason = current, ""
+        if split.n_train + split.n_test < min_rows:
+            reason = f"fewer than {min_rows} current rows"
+        elif not set_schema_gate(baseline, current):
+            reason = "columns differ"
+        else:
+            train, test = set_concat_align(baseline, split.train), split.test
+    return TrainResult(estimator.fit(spread(train)), train, test, not reason, reason)
 
 
 def ml_batch_score(
@@ -165,10 +170,11 @@ def ml_profile_score(
         .agg(F.sum(roles.value).alias("__s"), F.count(roles.value).alias("__n"))
     )
     profile = sums.select(*keys, (F.col("__s") / F.col("__n")).alias("__mean"))
-    overall = train.agg(F.avg(roles.value)).scalar()
+    # The overall mean follows from the same sums.
+    overall = sums.agg(F.sum("__s") / F.sum("__n")).scalar()
     parts = prj_calendar_parts(df, tz, roles)
     return (
-        parts.join(profile, keys, "left")
+        salted_join(parts, profile, keys)
         .withColumn("prediction", F.coalesce("__mean", overall))
         .select(*df.columns, "prediction")
     )
@@ -205,7 +211,7 @@ def ml_ablation(
 ) -> DataFrame:
     """Two fits on the same split, with and without a feature, and whether to keep it: a gain in
     R² above the margin keeps it, anything else drops it."""
-    train, test = spl_holdout(df, key=key, min_rows=0, min_test=0)
+    train, test, *_ = spl_holdout(df, key=key)
     rows = None
     for name, est in (("with_feature", with_it), ("without_feature", without_it)):
         m = evl_regression(est.fit(spread(train)).transform(test), y, "prediction").withColumn(
@@ -255,7 +261,7 @@ def ml_cross_validate(
     )
 
 
-def baseline_estimators(label: str = "count", year_base: int = -1) -> dict[str, Pipeline]:
+def baseline_estimators(label: str = "count", year_base: int = YEAR_BASE) -> dict[str, Pipeline]:
     stages = feature_stages(year_base=year_base)
     return {
         "linear": Pipeline(stages=[*stages, LinearRegression(labelCol=label, regParam=0.01)]),
@@ -272,7 +278,7 @@ def ml_baselines(
     y: str = "count",
 ) -> DataFrame:
     """Comparison models on one split: metrics per model."""
-    train, test = spl_holdout(df, key=key, min_rows=0, min_test=0)
+    train, test, *_ = spl_holdout(df, key=key)
     rows = None
     for name, est in (estimators or baseline_estimators(y)).items():
         m = evl_regression(est.fit(spread(train)).transform(test), y, "prediction").select(

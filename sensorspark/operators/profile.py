@@ -13,13 +13,16 @@ from pyspark.sql import types as T
 from sensorspark.functions.columns import divide, floor_days, seconds_between, since, ts_of
 from sensorspark.functions.ordering import (
     quantile_columns,
+    ranked_counts,
     ranked_values,
     running,
     split_points,
+    value_counts,
     with_bucket,
 )
 from sensorspark.operators.clean import prj_calendar_parts, prj_day_type
 from sensorspark.schema import LOCAL_TIME_ZONE, ROLES, Roles
+from sensorspark.session import via_table
 
 
 def n_rows() -> Column:
@@ -431,7 +434,9 @@ def agg_run_durations(
 ) -> DataFrame:
     """Runs, mean and median duration in seconds per group; runs without an end count as runs."""
     d = runs.withColumn("duration_s", seconds_between(F.col("end_ts"), F.col("start_ts")))
-    ranked = ranked_values(d, by, "duration_s", points, nulls=True)
+    # Counted once: cut points and ranks come from the few distinct durations, not from the runs.
+    counts = via_table(value_counts(d, by, "duration_s", nulls=True), "durations")
+    ranked = ranked_counts(counts, by, points, nulls=True)
     x, n = F.col("x"), F.col("n")
     return ranked.groupBy(*by).agg(
         F.sum(n).alias("n_runs"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import micros
-from sensorspark.functions.ordering import quantiles, top_k_per_group
+from sensorspark.functions.ordering import quantiles, salted_join, top_k_per_group
 from sensorspark.schema import ROLES, Roles
 
 
@@ -28,9 +28,8 @@ def win_group_threshold(df: DataFrame, stat: str = "mean", fit_on: DataFrame | N
     else:
         raise ValueError(f"stat: {stat}")
     busy = F.col(roles.value) > F.col("threshold")
-    return df.join(limits, roles.sensor, "left").withColumn(
-        "affluence", F.when(busy, 1).otherwise(0)
-    )
+    joined = salted_join(df, limits, [roles.sensor])
+    return joined.select(*df.columns, "threshold", F.when(busy, 1).otherwise(0).alias("affluence"))
 
 
 def win_peak_per_sensor(df: DataFrame, roles: Roles = ROLES) -> DataFrame:

@@ -7,6 +7,7 @@ any retry, for any partitioning. Ranks inside a stratum are found bucket by buck
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from sensorspark.functions.ordering import (
     hash_cut,
     hash_order,
     running,
+    salted_join,
     value_counts,
     with_bucket,
 )
@@ -54,7 +56,7 @@ def with_stratified_part(
     hashed = df.withColumn("__h", hash_order(key, seed))
     cuts = hash_cut(hashed, [by], "__h", lambda n: test_quota(n, test_size))
     part = F.when(F.col("__h") <= F.col("cut"), "test").otherwise("train")
-    return hashed.join(cuts, by, "left").withColumn("part", part).select(*df.columns, "part")
+    return salted_join(hashed, cuts, [by]).withColumn("part", part).select(*df.columns, "part")
 
 
 def _parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,24 +149,26 @@ def holdout_part(key: str | Sequence[str], frac: float = 0.8, seed: int | str =
     return F.when(h < limit, "train").otherwise("test")
 
 
+class Holdout(NamedTuple):
+    train: DataFrame
+    test: DataFrame
+    n_train: int
+    n_test: int
+
+
 def spl_holdout(
     df: DataFrame,
     frac: float = 0.8,
-    min_rows: int = 200,
-    min_test: int = 40,
     key: str | Sequence[str] = ("sensor_id", "reading_ts"),
     seed: int | str = "",
-) -> tuple[DataFrame, DataFrame]:
-    """Split current data, only from ``min_rows`` rows on (below, both parts are empty) and with a
-    test part only when it has ``min_test`` rows. One count decides both gates."""
+) -> Holdout:
+    """Every row in one of two parts, and how many each has: whether they are enough is for the
+    caller to say."""
     marked = df.withColumn("part", holdout_part(key, frac, seed))
     n, n_test = marked.agg(
         F.count(F.lit(1)), F.count(F.when(F.col("part") == "test", 1))
     ).first()
-    train, test = _parts(marked)
-    if n < min_rows:
-        return train.limit(0), test.limit(0)
-    return train, test if n_test >= min_test else test.limit(0)
+    return Holdout(*_parts(marked), n - n_test, n_test)
 
 
 def spl_label_stratified(

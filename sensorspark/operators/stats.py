@@ -123,18 +123,23 @@ def stat_paired_t(
     pairs a row stands for."""
     w = F.lit(1) if weight is None else F.col(weight)
     d = F.col(a).cast("double") - F.col(b).cast("double")
-    sums = matched.where(d.isNotNull()).agg(
-        F.sum(w).alias("n"), F.sum(w * d).alias("s"), F.sum(w * d * d).alias("s2")
+    rows = matched.where(d.isNotNull())
+    centre = rows.agg(F.avg(d)).scalar()
+    e = d - centre
+    sums = rows.agg(
+        F.sum(w).alias("n"), F.sum(w * e).alias("s"), F.sum(w * e * e).alias("s2"), F.max(centre).alias("centre")
     )
     return _finish_t(sums, alpha)
 
 
 def _finish_t(sums: DataFrame, alpha: float) -> DataFrame:
+    """From sums of the differences around ``centre``, a value near their mean."""
     n, s, s2 = F.col("n"), F.col("s"), F.col("s2")
     var = divide(s2 - s * s / n, n - 1)
-    t = divide(s / n, F.sqrt(F.greatest(var, F.lit(0.0)) / n))
+    mean = F.col("centre") + s / n
+    t = divide(mean, F.sqrt(F.greatest(var, F.lit(0.0)) / n))
     return (
-        sums.select(n.cast("bigint").alias("n_pairs"), (s / n).alias("mean_difference"), t.alias("t"))
+        sums.select(n.cast("bigint").alias("n_pairs"), mean.alias("mean_difference"), t.alias("t"))
         .withColumn("p_value", student_two_sided_p("t", (F.col("n_pairs") - 1).cast("double")))
         .withColumn("passed", F.col("p_value") > alpha)
     )
@@ -142,13 +147,17 @@ def _finish_t(sums: DataFrame, alpha: float) -> DataFrame:
 
 def match_paired_t(matched: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Paired t over every row pair behind ``jn_source_match``, from the group sums."""
-    na, nb = F.col("n_a"), F.col("n_b")
+    # Differences of a key's pairs: their mean is that of the sides' means, and around it they
+    # spread by what each side spreads around its own mean.
+    na, nb, pairs = F.col("n_a"), F.col("n_b"), F.col("pairs")
+    mean = divide(F.col("sum_a"), na) - divide(F.col("sum_b"), nb)
+    centre = matched.agg(F.avg(mean)).scalar()
+    e = mean - centre
     sums = matched.agg(
         F.sum("pairs").alias("n"),
-        F.sum(F.col("sum_a") * nb - F.col("sum_b") * na).alias("s"),
-        F.sum(
-            F.col("sum2_a") * nb + F.col("sum2_b") * na - 2 * F.col("sum_a") * F.col("sum_b")
-        ).alias("s2"),
+        F.sum(pairs * e).alias("s"),
+        F.sum(F.col("dev2_a") * nb + F.col("dev2_b") * na + pairs * e * e).alias("s2"),
+        F.max(centre).alias("centre"),
     )
     return _finish_t(sums, alpha)
 
@@ -178,11 +187,15 @@ def stat_match_quality(
         .unionByName(b.select(*keys, v.alias("x"), F.lit(0).alias("side")))
         .where(F.col("x").isNotNull())
     )
+    # Sums of squares and products are taken around the mean of all values.
+    centre = rows.agg(F.avg("x")).first()[0] or 0.0
+    rows = rows.withColumn("x", F.col("x") - F.lit(centre))
     counts = rows.groupBy(*keys, "x").agg(
         F.count(F.when(F.col("side") == 1, 1)).alias("n_a"),
         F.count(F.when(F.col("side") == 0, 1)).alias("n_b"),
     )
     x, na, nb = F.col("x"), F.col("n_a"), F.col("n_b")
+    value = x + F.lit(centre)
     r = running(
         with_bucket(counts, "x", split_points(rows, "x")),
         keys,
@@ -200,8 +213,8 @@ def stat_match_quality(
         F.sum(na * tsb2).alias("sbb"),
         F.sum(na * x * tsb).alias("sab"),
         F.sum(na * apart).alias("abs_sum"),
-        F.sum(na * F.when(x != 0, apart / x * 100.0)).alias("pct_sum"),
-        F.sum(F.when(x != 0, na * tb)).alias("pct_n"),
+        F.sum(na * F.when(value != 0, apart / value * 100.0)).alias("pct_sum"),
+        F.sum(F.when(value != 0, na * tb)).alias("pct_n"),
     )
     n, sa, sbt = F.col("n"), F.col("sa"), F.col("sb")
     cov = n * F.col("sab") - sa * sbt

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import ts_of, utc_timestamp
@@ -54,11 +54,18 @@ def ingest_cycle(
     new = api_readings(pages, json_col, now)
     if target is not None:
         new = jn_dedup_merge(new, target) if by_key else flt_high_water(new, target)
-    expected = new.count()
-    if expected == 0:
-        return agg_ingest_check(new, now, 0)
-    snk_append_partitioned(new, path)
-    return agg_ingest_check(spark.read.schema(new.schema).parquet(path), now, expected)
+    written = Observation()
+    snk_append_partitioned(
+        new.observe(written, F.count(F.lit(1)).alias("n"), F.min("reading_date").alias("first"), F.max("reading_date").alias("last"), F.count(F.when(F.col("reading_date").isNull(), 1)).alias("undated")),
+        path,
+    )
+    n, first, last, undated = (written.get[c] for c in ("n", "first", "last", "undated"))
+    if n == 0:
+        return agg_ingest_check(spark.createDataFrame([], new.schema), now, 0)
+    # The check reads the days that the write touched, no others.
+    day = F.col("reading_date")
+    touched = day.between(F.lit(first), F.lit(last)) | (day.isNull() & F.lit(undated > 0))
+    return agg_ingest_check(spark.read.schema(new.schema).parquet(path).where(touched), now, n)
 
 
 def score_cycle(
@@ -74,10 +81,12 @@ def score_cycle(
     if agg_freshness_check(readings, now).first()["status"] == "failed":
         raise ValueError("no readings in the last 7 days")
     scored = ml_batch_score(model, src_warehouse_window(readings, now, interval), tags, now)
-    expected = scored.count()
-    snk_replace_day(scored, path)
+    written = Observation()
+    snk_replace_day(scored.observe(written, F.count(F.lit(1)).alias("n"), F.min("pred_date").alias("first"), F.max("pred_date").alias("last")), path)
+    n, first, last = (written.get[c] for c in ("n", "first", "last"))
     stored = spark.read.parquet(path).where(F.col("prediction_ts") == ts_of(now))
-    return agg_prediction_check(stored, expected), evl_regression(stored)
+    stored = stored.where(F.col("pred_date").between(F.lit(first), F.lit(last)))
+    return agg_prediction_check(stored, n), evl_regression(stored)
 
 
 @dataclass
@@ -108,7 +117,7 @@ def monitor_cycle(
     drift = drf_schema_drift(reference, current).select(stamp, "drift_detected", "drift_share")
     matched = jn_pred_actual(predictions, readings, now)
     validation = evl_min_samples(evl_regression(matched, weight="n_rows")).select(
-        stamp, "rmse", "r2", ts_of(now).alias("timestamp"), F.lit(env).alias("env")
+        stamp, "rmse", "r2", "too_few", ts_of(now).alias("timestamp"), F.lit(env).alias("env")
     )
     decision = dec_retrain(validation.join(drift, "cycle_id").withColumn("force", F.lit(force)))
     stages = {"validation": validation, "drift": drift}

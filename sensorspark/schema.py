@@ -196,5 +196,7 @@ DRIFT_ALWAYS_KEEP = [
 ]
 
 YEAR_INDEX = {2024: 0, 2025: 1}
+# The same index for any year.
+YEAR_BASE = 2024
 
 LOCAL_TIME_ZONE = "Europe/Paris"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,12 @@ def configure(builder: SparkSession.Builder, **extra: str) -> SparkSession.Build
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is made only where the session names none (tests)."""
+    """The cluster's shared folder. Where the session names none, a run in one process gets a folder of
+    its own; on a cluster that is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sensorspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -37,14 +37,16 @@ def src_daily_union(
     df: DataFrame,
     now: Column | date | str,
     days_back: int = 7,
-    limit_per_day: int = 100,
+    limit_per_day: int | None = None,
     day_col: str = "reading_date",
     order_by: Sequence[str] = ("reading_ts", "sensor_id"),
 ) -> DataFrame:
-    """At most ``limit_per_day`` rows of each of the last ``days_back`` days before today. A day
-    without data simply has no partition."""
+    """The rows of the last ``days_back`` days before today, with ``limit_per_day`` the first so many
+    of each day. A day without data simply has no partition."""
     today = ts_of(now).cast("date")
     days = df.where((F.col(day_col) >= F.date_sub(today, days_back)) & (F.col(day_col) < today))
+    if limit_per_day is None:
+        return days
     return top_k_per_group(days, [day_col], [F.col(c) for c in order_by], limit_per_day)
 
 

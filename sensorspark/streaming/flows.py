@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sensorspark.functions.columns import seconds_between
+from sensorspark.functions.columns import utc_instant, utc_wall
+from sensorspark.operators.metrics import state_now
 from sensorspark.operators.models import ml_batch_score
 from sensorspark.schema import ROLES, Roles
 
 
 def event_time(stream: DataFrame, col: str, delay: str) -> DataFrame:
-    """Watermark on a timestamp column (watermarks need a zoned type)."""
-    return stream.withColumn(col, F.col(col).cast("timestamp")).withWatermark(col, delay)
+    """Watermark on a timestamp column. Watermarks need a zoned type: wall times are taken as UTC,
+    whatever the session's zone; ``utc_wall`` leads back."""
+    wall = isinstance(stream.schema[col].dataType, T.TimestampNTZType)
+    return stream.withColumn(col, utc_instant(F.col(col)) if wall else F.col(col)).withWatermark(col, delay)
 
 
 def str_incremental_ingest(
@@ -61,6 +64,7 @@ def str_dedup(
     return (
         salted.dropDuplicatesWithinWatermark([*keys, "__salt"])
         .dropDuplicatesWithinWatermark(keys)
+        .withColumn(roles.ts, utc_wall(F.col(roles.ts)))
         .drop("__salt")
     )
 
@@ -71,7 +75,7 @@ def str_tumbling_rollup(stream: DataFrame, delay: str = "2 hours", roles: Roles
         event_time(stream, roles.ts, delay)
         .groupBy(roles.sensor, F.window(roles.ts, "1 hour").alias("w"))
         .agg(F.avg(roles.value).alias("mean_count"), F.count(F.lit(1)).alias("n_rows"))
-        .select(roles.sensor, F.col("w.start").alias("hour_start"), "mean_count", "n_rows")
+        .select(roles.sensor, utc_wall(F.col("w.start")).alias("hour_start"), "mean_count", "n_rows")
     )
 
 
@@ -85,7 +89,7 @@ def str_sliding_error_rate(
         .groupBy(F.window("ts", "5 minutes", "1 minute").alias("w"))
         .agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("__bad"), 1)).alias("errors"))
         .select(
-            F.col("w.start").alias("window_start"),
+            utc_wall(F.col("w.start")).alias("window_start"),
             "requests",
             "errors",
             (F.col("errors") * 100.0 / F.col("requests")).alias("error_pct"),
@@ -143,6 +147,7 @@ def str_late_quarantine(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # three writes read it
         seen = _table(spark, marks, mark_schema).where(F.col("batch_id") < batch_id)
         mark = seen.agg(F.max("mark")).first()[0]
         ts = F.col(roles.ts)
@@ -152,6 +157,7 @@ def str_late_quarantine(
         batch.agg(F.max(ts.cast("timestamp_ntz")).alias("mark")).write.mode("overwrite").parquet(
             _batch_path(marks, batch_id)
         )
+        batch.unpersist()
 
     return _start_batches(stream, work, checkpoint, available_now)
 
@@ -206,7 +212,7 @@ def str_alert_for(
 ) -> StreamingQuery:
     """Alert states from a stream of evaluations (rule, instance, ts, breach): a condition fires
     once it has held for its rule's duration. Each batch writes the new state of every alert and
-    the alerts (Normal, Pending, Firing) as of the alert's last evaluation."""
+    the alerts (Normal, Pending, Firing, NoData) as of the newest evaluation."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -222,17 +228,9 @@ def str_alert_for(
 
 
 def named_alerts(state: DataFrame, rules: DataFrame) -> DataFrame:
-    held = seconds_between(F.col("last_ts"), F.col("since"))
-    return state.join(rules.select("rule", "for_s"), "rule").select(
-        "rule",
-        "instance",
-        "last_ts",
-        F.when(F.col("breach"), F.col("since")).alias("active_since"),
-        F.when(~F.col("breach"), "Normal")
-        .when(held >= F.col("for_s"), "Firing")
-        .otherwise("Pending")
-        .alias("state"),
-    )
+    """Alerts as of the newest evaluation of all: a series that has fallen silent by then takes its
+    rule's no-data policy, as in the batch form."""
+    return state_now(state, rules, state.agg(F.max("last_ts")).scalar())
 
 
 def latest_batch(spark: SparkSession, root: str) -> DataFrame:

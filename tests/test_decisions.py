@@ -134,7 +134,15 @@ def test_weighted_regression_equals_copies(frame):
 
 def test_min_samples(frame):
     df = frame([(9, 5.0, 0.9), (10, 5.0, 0.9)], "n int, rmse double, r2 double")
-    assert [(r.rmse, r.r2) for r in evl_min_samples(df).collect()] == [(999.0, 0.0), (5.0, 0.9)]
+    flagged = evl_min_samples(df)
+    assert [(r.rmse, r.r2, r.too_few) for r in flagged.collect()] == [(5.0, 0.9, True), (5.0, 0.9, False)]
+    assert [r.decision for r in dec_retrain(flagged).collect()] == ["reactive", "ok"]
+
+
+def test_weighted_regression_far_from_zero(frame):
+    rows = [(1e9 + i * 0.01, 1e9 + i * 0.01 + (0.25 if i % 2 else -0.25) * 0.1, 1) for i in range(200)]
+    df = frame(rows, "count double, prediction double, n_rows int")
+    assert abs(evl_regression(df, weight="n_rows").first().r2 - evl_regression(df).first().r2) < 1e-6
 
 
 def test_double_evaluation(frame):

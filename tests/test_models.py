@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sensorspark.operators.evaluate import evl_classification, evl_regression
-from sensorspark.operators.features import ml_clean_pipeline, ml_one_hot, ml_standardize
+from sensorspark.operators.features import ml_assemble, ml_clean_pipeline, ml_one_hot, ml_standardize
 from sensorspark.operators.models import (
     ml_ablation,
     ml_baselines,
@@ -137,9 +137,10 @@ def test_train_window(readings):
     out = ml_train_window(readings, current, est)
     assert out.sliding_window and out.train.count() + out.test_current.count() == 1200 + 800
     small = ml_train_window(readings, current.limit(199), est)
-    assert not small.sliding_window and small.train.count() == 1200
+    assert not small.sliding_window and small.train.count() == 1200 and small.reason == "fewer than 200 current rows"
+    assert small.test_current.count() == 199
     other = ml_train_window(readings, current.select("sensor_id", "reading_ts").withColumn("x", F.lit(1)), est)
-    assert not other.sliding_window
+    assert not other.sliding_window and other.reason == "columns differ"
     assert not ml_train_window(readings, None, est).sliding_window
 
 
@@ -191,3 +192,10 @@ def test_ingest_cycle(spark, frame, tmp_path):
     assert ingest_cycle(spark, late, "body", str(tmp_path / "u"), "2024-01-01 13:00:00", stored).first().n_rows == 1
     assert ingest_cycle(spark, late, "body", str(tmp_path / "v"), "2024-01-01 13:00:00", stored, by_key=True).first().n_rows == 2
     assert ingest_cycle(spark, first, "body", str(tmp_path / "w"), "2024-01-01 13:00:00", stored).first().status == "failed"
+
+
+def test_years_beyond_the_known_ones(frame):
+    df = frame([("A", f"20{y}-05-0{d} 10:00:00", float(d)) for y in (24, 26, 31) for d in (1, 2, 3)], "sensor_id string, reading_ts timestamp_ntz, count double")
+    assert ml_assemble(df).where("features is not null").count() == 9
+    known = ml_assemble(df.where("year(reading_ts) = 2024"), year_base=-1)
+    assert known.select("year_idx").distinct().first()[0] == 0

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 import pytest
+from catalog import CATALOG
 from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# Those of the library; other subpackages test their own.
+QUERIES = {name: q.run for name, q in CATALOG.items()}
+SQL = {name: q.sql for name, q in CATALOG.items() if q.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +32,10 @@ def test_gives_rows(spark, con, name):
 
 def test_entry(spark):
     out = entry.entry(spark)
-    assert set(out.columns) == {"sensor_id", "n", "rmse", "mae", "r2", "decision", "branch"}
+    assert set(out.columns) == {"sensor_id", "n", "rmse", "mae", "r2", "too_few", "decision", "branch"}
     assert out.count() > 0
 
 
 def test_sql_only_for_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import math
 
 import numpy as np
@@ -150,7 +152,7 @@ def test_drift_methods(samples):
     gaps = np.abs([(a <= x).mean() - (b <= x).mean() for x in grid[:-1]])
     got = numeric_drift(da, db, ["v"]).first()
     assert math.isclose(got.wasserstein, (gaps * np.diff(grid)).sum() / a.std(), rel_tol=1e-9)
-    for method, name in (("p_value", "ks"), ("distance", "wasserstein"), ("auto", "ks")):
+    for method, name in (("p_value", "ks"), ("distance", "wasserstein")):
         row = drf_column_drift(da, db, method=method).first()
         assert row.method == name and row.drifted
     raised = drf_column_drift(da, db, method="distance", thresholds={"wasserstein": 99.0}).first()
@@ -202,3 +204,25 @@ def test_key_distribution(frame):
     rows = [("hot",)] * 5000 + [("a",)] * 3 + [("b",)] * 3 + [("c",)] * 12
     d = agg_key_distribution(frame(rows, "sensor_id string")).first()
     assert (d.n_keys, d.min_rows, d.max_rows, d.median_rows, d.rare_keys) == (4, 3, 5000, 7.5, 2)
+
+
+def test_spreads_far_from_zero(frame):
+    """Values near 1e9 give what they give near 0."""
+    rng = random.Random(1)
+    a = [(i, rng.gauss(0, 0.03)) for i in range(3000)]
+    b = [(i, x + 0.02 + rng.gauss(0, 0.001)) for i, x in a]
+
+    def at(offset, rows):
+        return frame([(str(i % 500), "2024-01-01 00:00:00", x + offset) for i, x in rows], "sensor_key string, date_hour timestamp_ntz, count double")
+
+    near = [numeric_drift(at(o, a), at(o, b), ["count"]).first().wasserstein for o in (0.0, 1e9)]
+    assert abs(near[0] - near[1]) < 1e-3 and 0.5 < near[0] < 0.9
+    quality = [stat_match_quality(at(o, a), at(o, b)).first() for o in (0.0, 1e9)]
+    assert abs(quality[0].pearson_r - quality[1].pearson_r) < 1e-3 and abs(quality[0].mae - quality[1].mae) < 1e-5
+    paired = [match_paired_t(jn_source_match(at(o, a), at(o, b))).first() for o in (0.0, 1e9)]
+    assert abs(paired[0].t / paired[1].t - 1) < 1e-3
+    d = frame([(x + 1e9, 0.0) for _, x in a], "count_a double, count_b double")
+    t = stat_paired_t(d).first()
+    mean = sum(x for x, in [(r.count_a,) for r in d.collect()]) / 3000
+    sd = math.sqrt(sum((r.count_a - mean) ** 2 for r in d.collect()) / 2999)
+    assert abs(t.t / (mean / (sd / math.sqrt(3000))) - 1) < 1e-3

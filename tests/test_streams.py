@@ -17,6 +17,7 @@ from sensorspark.streaming.flows import (
     str_dedup,
     str_incremental_ingest,
     str_late_quarantine,
+    str_tumbling_rollup,
 )
 
 READ = "sensor_id string, reading_ts timestamp_ntz, count double"
@@ -109,3 +110,37 @@ def test_written_tables_cut_lineage(spark, frame):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert shared_folder(spark).split(":")[-1] in plan and "ExistingRDD" not in plan
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Paris", "America/New_York"])
+def test_streams_in_any_session_zone(spark, inbox, tmp_path, zone):
+    """Hours around both clock changes stay apart."""
+    hours = ["2024-03-31 00:10:00", "2024-03-31 01:10:00", "2024-03-31 02:10:00", "2024-10-27 00:10:00", "2024-10-27 01:10:00", "2024-10-27 02:10:00", "2024-11-03 05:10:00", "2024-11-03 06:10:00"]
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+    def run(name, form, rows, schema=READ):
+        q = form(inbox(rows, schema)).writeStream.format("parquet").option("path", str(tmp_path / name)).outputMode("append")
+        q.option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / name))
+
+    try:
+        rows = [("a", h, 1.0) for h in hours] + [("a", "2024-12-01 00:00:00", 1.0)]
+        rolled = run("roll", str_tumbling_rollup, rows)
+        assert sorted(str(r[0]) for r in rolled.select(F.col("hour_start").cast("string")).collect()) == [h[:13] + ":00:00" for h in hours]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Paris", "America/New_York"])
+def test_dedup_in_any_session_zone(spark, inbox, tmp_path, zone):
+    hours = ["2024-03-31 01:10:00", "2024-03-31 02:10:00", "2024-10-27 00:10:00", "2024-10-27 01:10:00"]
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        q = str_dedup(inbox([("a", h, 1.0) for h in hours] * 2)).writeStream.format("parquet").option("path", str(tmp_path / "o"))
+        q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "o")).select(F.col("reading_ts").cast("string")).collect()
+        assert sorted(r[0] for r in got) == hours
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)

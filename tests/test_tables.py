@@ -138,6 +138,8 @@ def test_csv_split_keeps_the_old_one(spark, frame, tmp_path):
 
 
 def test_daily_union_skips_missing_days(frame):
+    every = src_daily_union(days(frame), "2024-01-05 00:00:00", days_back=3)
+    assert every.count() == days(frame).where("reading_date >= '2024-01-02' and reading_date < '2024-01-05'").count()
     got = src_daily_union(days(frame), "2024-01-05 00:00:00", days_back=3, limit_per_day=2)
     assert [(str(r.reading_date), r["count(1)"]) for r in got.groupBy("reading_date").agg(F.expr("count(1)")).orderBy("reading_date").collect()] == [("2024-01-02", 2), ("2024-01-04", 2)]
 
@@ -279,14 +281,12 @@ def test_samples(frame):
     assert spl_random_sample(df, 5000, key="id").count() == 911
 
 
-def test_holdout_gates(frame):
-    def parts(n):
-        train, test = spl_holdout(frame([(i,) for i in range(n)], "id int"), key="id")
-        return train.count(), test.count()
-    assert parts(199) == (0, 0)
-    train, test = parts(1000)
-    assert train + test == 1000 and 150 < test < 250
-    assert spl_holdout(frame([(i,) for i in range(200)], "id int"), key="id", min_test=150)[1].count() == 0
+def test_holdout_keeps_every_row(frame):
+    for n in (0, 1, 50, 1000):
+        split = spl_holdout(frame([(i,) for i in range(n)], "id int"), key="id")
+        assert (split.train.count(), split.test.count()) == (split.n_train, split.n_test)
+        assert split.n_train + split.n_test == n
+    assert 150 < split.n_test < 250
 
 
 def test_temporal_split_keeps_equal_times_together(frame):
