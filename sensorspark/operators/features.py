@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import cyclic, year_index
+from sensorspark.functions.ordering import running, salted_join, with_bucket
 from sensorspark.operators.clean import (
     prj_calendar_parts,
     prj_downcast,
@@ -93,11 +94,17 @@ def ml_clean_pipeline(year_base: int = YEAR_BASE) -> Pipeline:
 
 
 def ml_label_encode(df: DataFrame, col: str = "sensor_id", out: str = "sensor_idx") -> DataFrame:
-    """Alphabetical index of a label."""
-    indexer = StringIndexer(
-        inputCol=col, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
-    return indexer.fit(df).transform(df).withColumn(out, F.col(out).cast("int"))
+    """Alphabetical index of a label, from 0; null gets the index after all others. Labels are ranked
+    bucket by bucket (their first bytes are the bucket) and joined back by salted key: any number of
+    them fits, none comes to the driver."""
+    labels = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("__label")).distinct()
+    first = F.rpad(F.hex(F.substring(F.col("__label").cast("binary"), 1, 6)), 12, "0")
+    placed = with_bucket(labels.withColumn("__first", F.conv(first, 16, 10).cast("double")), "__first")
+    ranks = running(placed, [], "__label", measures={"__rank": ("sum", F.lit(1))})
+    table = ranks.select("__label", (F.col("__rank") - 1).cast("int").alias("__idx"))
+    total = labels.agg(F.count(F.lit(1)).cast("int")).scalar()
+    rows = df.withColumn("__label", F.col(col).cast("string"))
+    return salted_join(rows, table, ["__label"]).select(*df.columns, F.coalesce("__idx", total).alias(out))
 
 
 def one_hot_stages(cols: Sequence[str]) -> list:

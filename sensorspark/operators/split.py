@@ -129,10 +129,17 @@ def spl_stratified_sample(
 
 
 def _first_by_hash(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
-    """The first ``n`` rows by ``__h``. All but about ``n`` rows are filtered out before the sort."""
+    """The first ``n`` rows by ``__h``: a filter on the hash. Only where rows of the last hash are
+    more than fit (repeated keys) are those put in order, and no others."""
     keys = [key] if isinstance(key, str) else list(key)
-    cut = hash_cut(df, [], "__h", lambda m: F.least(m, F.lit(n))).agg(F.max("cut")).first()[0]
-    return df.where(F.col("__h") <= F.lit(cut)).orderBy("__h", *keys).limit(n)
+    cut = F.lit(hash_cut(df, [], "__h", lambda m: F.least(m, F.lit(n))).agg(F.max("cut")).first()[0])
+    below, at = df.where(F.col("__h") < cut), df.where(F.col("__h") == cut)
+    n_below, n_at = df.where(F.col("__h") <= cut).agg(
+        F.count(F.when(F.col("__h") < cut, 1)), F.count(F.when(F.col("__h") == cut, 1))
+    ).first()
+    if n_below + n_at <= n:
+        return df.where(F.col("__h") <= cut)
+    return below.unionByName(at.orderBy(*keys).limit(n - n_below))
 
 
 def spl_random_sample(

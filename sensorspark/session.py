@@ -49,4 +49,14 @@ def via_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``via_table`` that nothing reads any more."""
+    for table in tables:
+        state = table._jdf.sparkSession().sessionState()
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(state.newHadoopConf()).delete(path, True)

@@ -91,6 +91,8 @@ def test_registry_file(spark, tmp_path):
     many = text(tmp_path, "many.json", json.dumps([entry, {**entry, "run_id": "b", "r2": 0.5}], indent=2))
     rows = src_registry_json(spark, many).orderBy("seq").collect()
     assert [(r.seq, r.run_id, r.r2) for r in rows] == [(0, "a", None), (1, "b", 0.5)]
+    apart = text(tmp_path, "lines.json", "\n".join([json.dumps({**entry, "run_id": r}) for r in ("x", "y")] + ["no json", ""]))
+    assert [r.run_id for r in src_registry_json(spark, apart, lines=True).orderBy("seq").collect()] == ["x", "y"]
     assert src_registry_json(spark, text(tmp_path, "one.json", json.dumps(entry))).first().run_id == "a"
     for bad in ("invalid json{{{", "", "[]"):
         assert src_registry_json(spark, text(tmp_path, "bad.json", bad)).count() == 0
