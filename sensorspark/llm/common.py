@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorspark.session import scratch_path, via_table
+from sensorspark.session import forget, scratch_path, via_table
 
 #: ASCII white space, the separator of words in every operator.
 SPACE = " \t\n\x0b\f\r"
@@ -33,7 +33,7 @@ def shared_uri(spark: SparkSession, label: str) -> str:
     return path if re.match(r"[a-z][a-z0-9+.-]*:", path) else f"file://{path}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Hold Arrow batches to so many rows and 16 MB, so that batches of long texts fit a Python
     worker. Settings that the session names itself stay."""
     for key, value in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", str(16 << 20))):
@@ -221,8 +221,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """``node, root``: the smallest node of each connected component, for nodes that have an edge
     ``a, b``. Rounds of large-star and small-star, each a group-wise minimum and a join back.
 
-    Every round is written as a table. A hub's edges meet its minimum in a join of two tables,
-    which adaptive execution can split; no component is gathered."""
+    Every round is written as a table, and the tables of the round before go. A hub's edges meet its
+    minimum in a join of two tables, which adaptive execution can split; no component is gathered."""
     e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = via_table(e.distinct(), label)
     while True:
@@ -233,12 +233,15 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         large = via_table(large.where("a != b").distinct(), label)
         # Small-star: a node and its smaller neighbours go to the smallest of them.
         down = via_table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("n")), label)
+        done = [e, low]
         if down.where("n > 1").limit(1).count() == 0:
-            e = large
+            e, done = large, [*done, down]
         else:
             new = large.join(down.drop("n"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
+            done += [large, down]
             e = via_table(new.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a != b").distinct(), label)
-            down = e.groupBy("a").agg(F.count("b").alias("n"))
+        forget(*done)
+        down = e.groupBy("a").agg(F.count("b").alias("n"))
         # Done when every node has one edge and no root is the child of another.
         roots = e.select(F.col("b").alias("a")).distinct()
         if down.where("n > 1").limit(1).count() == 0 and e.join(roots, "a", "left_semi").limit(1).count() == 0:
@@ -247,6 +250,6 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 
 __all__ = [
-    "SPACE", "WORD", "before", "components", "group_numbers", "labels_of", "mix", "ranked", "shared_uri", "shingle_sets", "small_batches",
+    "SPACE", "WORD", "before", "components", "forget", "group_numbers", "labels_of", "mix", "ranked", "shared_uri", "shingle_sets", "small_batches",
     "table", "text_buffer", "text_slices", "via_table", "whole_groups", "word_hashes",
 ]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.llm.common import SPACE, mix, shared_uri, small_batches, via_table
+from sensorspark.llm.common import SPACE, forget, mix, shared_uri, small_batches, via_table
 
 _STRIP = SPACE.encode()
 #: Keys of a shard, about: an array of 24 bytes a key.
@@ -203,6 +203,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, least_chars: int = 20) -> Da
     shards = max(1, -(-counts.count() // SHARD_KEYS))
     folder = shared_uri(spark, "lines-shards")
     build_shards(counts, folder, shards).agg(F.sum("keys")).collect()
+    forget(counts)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _shards(folder)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorspark.llm.common import SPACE, mix, small_batches, text_buffer, text_slices, via_table, word_hashes
+from sensorspark.llm.common import SPACE, forget, mix, small_batches, text_buffer, text_slices, via_table, word_hashes
 
 _GAP = np.zeros(1 << 8, dtype=bool)
 _GAP[[ord(c) for c in SPACE]] = True
@@ -191,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     for k in range(s.epochs):
         vectors, soft = epoch(vectors, soft, k)
+    forget(sample)
     value = vectors @ (soft[:-1, 1] - soft[:-1, 0])
     # From the sample's class shares to those of the labels.
     prior = np.log(all_known[1] / all_known[0]) - np.log(found[1] / found[0])

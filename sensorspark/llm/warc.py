@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorspark.llm.common import shared_uri, small_batches, via_table
+from sensorspark.llm.common import forget, shared_uri, small_batches, via_table
 
 #: Payloads of at least so many bytes are written once.
 LEAST_BYTES = 100
@@ -171,7 +171,9 @@ def write_index(captures: DataFrame, folder: str) -> CaptureIndex:
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "file", "at"]
     rows = captures.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "file", "at", "length")
-    files = sorted(tuple(r) for r in via_table(rows.mapInArrow(write, "first string, file string, at long"), "warc-index").collect())
+    made = via_table(rows.mapInArrow(write, "first string, file string, at long"), "warc-index")
+    files = sorted(tuple(r) for r in made.collect())
+    forget(made)
     return CaptureIndex(folder, tuple(f[0] for f in files), tuple(f"{f[1]}:{f[2]}" for f in files))
 
 
@@ -285,4 +287,5 @@ def archive_round_trip(pages: DataFrame, with_html: bool = False) -> DataFrame:
     folder = shared_uri(spark, "warc")
     captures = write_archives(pages, folder)
     index = write_index(captures, folder)
+    forget(captures)
     return read_records(pages.select(capture_key("url", "page_id").alias("key")), index, with_html)
