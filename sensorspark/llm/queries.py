@@ -124,7 +124,34 @@ def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_chosen_path_join")
+@query(
+    "op8_chosen_path_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), s AS (
+        SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE
+            list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS sh
+        FROM w
+    ), c AS (
+        SELECT sh, min(doc_id) AS set_id, count(*) AS n_copies FROM s WHERE len(sh) > 0 GROUP BY sh
+    ), u AS (
+        SELECT set_id, n_copies, len(sh) AS n, unnest(sh) AS x FROM c
+    ), p AS (
+        SELECT a.set_id AS a, b.set_id AS b, any_value(b.n_copies) AS copies FROM u a JOIN u b ON a.x = b.x AND a.set_id <> b.set_id
+        GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+    ), r AS (
+        SELECT set_id AS a, set_id AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+    ), k AS (
+        SELECT a, min(b) AS class_id FROM r GROUP BY a
+    ), l AS (
+        SELECT a, sum(copies) AS links FROM p GROUP BY a
+    )
+    SELECT s.doc_id, coalesce(k.class_id, s.doc_id) AS class_id, coalesce(c.set_id, s.doc_id) AS set_id, coalesce(c.n_copies, 1)::BIGINT AS n_copies,
+        (coalesce(l.links, 0) + coalesce(c.n_copies, 1) - 1)::BIGINT AS n_links
+    FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN k ON k.a = c.set_id LEFT JOIN l ON l.a = c.set_id
+    """,
+)
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
