@@ -27,6 +27,8 @@ PLACES = 2
 WORDS_A_PASS = 1 << 20
 #: Windows that are embedded together, and bytes of documents that wait for them.
 POOL, HELD_BYTES = 1 << 15, 32 << 20
+#: Meetings of grams that are turned into windows together, and windows that look for items together.
+MEETINGS, SEEKERS = 1 << 15, 1 << 10
 _TABLE_BITS = 22
 
 
@@ -101,10 +103,12 @@ def repetitions(words: int, share: float, recall: float, trials: int = 300, most
 
 @dataclass
 class Items:
-    """A pass's items, ready for look-ups. ``grams``: for each gram length its hashes in order, and
+    """A pass's items, ready for look-ups. ``ids`` are numbers of ``names``; a null name has a number for
+    each of its texts. ``grams``: for each gram length its hashes in order, and
     the items and places that have them."""
 
     share: float
+    names: list[int | None]
     ids: np.ndarray
     lengths: np.ndarray
     words: list[np.ndarray]
@@ -131,7 +135,7 @@ def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return table[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
 
 
-def prepare(items: list[tuple[int, str]], share: float, recall: float) -> Items:
+def prepare(items: list[tuple[int | None, str]], share: float, recall: float) -> Items:
     """Words and grams of the items. By the pigeonhole principle a window within k edits of W words
     keeps floor((W - k) / (k + 1)) words in a row of the item, and it begins at most k words from
     where these say. Only such windows are embedded; no window within the threshold is lost."""
@@ -140,7 +144,14 @@ def prepare(items: list[tuple[int, str]], share: float, recall: float) -> Items:
     kept = [i for i, w in enumerate(own) if len(w)]
     own = [own[i] for i in kept]
     lengths = np.array([len(w) for w in own], dtype=np.int64)
-    out = Items(share, np.array([items[i][0] for i in kept], dtype=np.int64), lengths, own, np.unique(words), {int(w): repetitions(int(w), share, recall) for w in np.unique(lengths)})
+    names = sorted({items[i][0] for i in kept} - {None})
+    number = {name: n for n, name in enumerate(names)}
+    ids = []
+    for i in kept:
+        ids.append(number.get(items[i][0], len(names)))
+        if items[i][0] is None:
+            names.append(None)
+    out = Items(share, names, np.array(ids, dtype=np.int64), lengths, own, np.unique(words), {int(w): repetitions(int(w), share, recall) for w in np.unique(lengths)})
     found: dict[int, list] = {}
     for i, w in enumerate(own):
         k = allowed(len(w), share)
@@ -159,7 +170,7 @@ class _Windows:
     """Windows of one pass, pooled by item length until there are enough to embed together."""
 
     def __init__(self, items: Items):
-        self.items, self.held, self.size = items, {}, 0
+        self.items, self.held, self.size, self.found = items, {}, 0, []
         self.vocabulary = _table(items.vocabulary)
         self.tables = {q: _table(g[0]) for q, g in items.grams.items()}
 
@@ -168,60 +179,78 @@ class _Windows:
         within the threshold of an item."""
         items = self.items
         known = np.concatenate([[0], np.cumsum(_marked(self.vocabulary, words))])
-        begin, end = [], []
-        found: dict[int, list[np.ndarray]] = {}
         for q, (every, first, item, place) in items.grams.items():
             grams = _gram_hashes(words, q)
             p = np.flatnonzero(_marked(self.tables[q], grams))
             g = np.searchsorted(every, grams[p])
             hit = every[np.minimum(g, len(every) - 1)] == grams[p]
             p, g = p[hit], g[hit]
-            n = first[g + 1] - first[g]
-            source = np.repeat(np.arange(len(p)), n)
-            within = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n)
-            k = first[g][source] + within
-            begin, end = p[source] - place[k], item[k]
-            for w in np.unique(items.lengths[end]) if len(end) else []:
-                mine = items.lengths[end] == w
-                off = np.arange(-allowed(w, items.share), allowed(w, items.share) + 1)
-                doc = np.searchsorted(at, p[source][mine], side="right") - 1
-                s = (begin[mine][:, None] + off).ravel()
-                d = np.repeat(doc, len(off))
-                # A window that a text's edge cuts is shorter.
-                stop = np.minimum(s + w, at[d + 1])
-                s = np.maximum(s, at[d])
-                keep = stop - s >= w - allowed(w, items.share)
-                s, stop, d = s[keep], stop[keep], d[keep]
-                keep = known[stop] - known[s] >= w - allowed(w, items.share)
-                found.setdefault(int(w), []).append(np.stack([s[keep], stop[keep], d[keep]]))
-        for w, parts in found.items():
-            s, stop, d = np.unique(np.concatenate(parts, axis=1), axis=1)
-            if not len(s):
-                continue
-            place = s[:, None] + np.arange(w)
-            rows = np.where(place < stop[:, None], words[np.minimum(place, len(words) - 1)], np.uint64(0))
-            self.held.setdefault(w, []).append((rows, stop - s, docs[d], s - at[d]))
-            self.size += len(s)
-
-    def close(self) -> list[tuple[np.ndarray, ...]]:
-        """Document numbers, items, first words, lengths and distances of what is within the
-        threshold, and an empty pool."""
-        out = []
+            stops = np.cumsum(first[g + 1] - first[g])
+            for a in range(0, int(stops[-1]) if len(stops) else 0, MEETINGS):
+                met = np.arange(a, min(a + MEETINGS, int(stops[-1])))
+                source = np.searchsorted(stops, met, side="right")
+                k = first[g[source] + 1] - (stops[source] - met)
+                begin, end = p[source] - place[k], item[k]
+                for w in np.unique(items.lengths[end]):
+                    mine = items.lengths[end] == w
+                    off = np.arange(-allowed(w, items.share), allowed(w, items.share) + 1)
+                    doc = np.searchsorted(at, p[source][mine], side="right") - 1
+                    s = (begin[mine][:, None] + off).ravel()
+                    d = np.repeat(doc, len(off))
+                    # A window that a text's edge cuts is shorter.
+                    stop = np.minimum(s + w, at[d + 1])
+                    s = np.maximum(s, at[d])
+                    keep = stop - s >= w - allowed(w, items.share)
+                    s, stop, d = s[keep], stop[keep], d[keep]
+                    keep = known[stop] - known[s] >= w - allowed(w, items.share)
+                    s, stop, d = np.unique(np.stack([s[keep], stop[keep], d[keep]]), axis=1)
+                    for i in range(0, len(s), POOL):
+                        self._hold(int(w), words, at, docs, s[i : i + POOL], stop[i : i + POOL], d[i : i + POOL])
+
+    def _hold(self, w: int, words: np.ndarray, at: np.ndarray, docs: np.ndarray, s: np.ndarray, stop: np.ndarray, d: np.ndarray) -> None:
+        place = s[:, None] + np.arange(w)
+        rows = np.where(place < stop[:, None], words[np.minimum(place, len(words) - 1)], np.uint64(0))
+        self.held.setdefault(w, []).append((rows, stop - s, docs[d], s - at[d]))
+        self.size += len(s)
+        if self.size >= POOL:
+            self._flush()
+
+    def _flush(self) -> None:
         for w, parts in self.held.items():
             rows, lengths, docs, start = (np.concatenate([p[c] for p in parts]) for c in range(4))
             mine = np.flatnonzero(self.items.lengths == w)
             texts = np.stack([self.items.words[i] for i in mine])
-            met = np.zeros((len(rows), len(mine)), dtype=bool)
+            keys, sought = [], []
             for r in range(self.items.repeats[w]):
-                met |= embedded_places(rows, r)[:, None] == embedded_places(texts, r)[None, :]
-            a, b = np.nonzero(met)
-            for i in range(0, len(a), POOL):
-                x, y = a[i : i + POOL], b[i : i + POOL]
-                distance = edit_distances(rows[x], lengths[x], texts[y])
-                near = distance <= allowed(w, self.items.share)
-                x, y = x[near], y[near]
-                out.append((docs[x], self.items.ids[mine[y]], start[x], lengths[x], distance[near]))
+                own = embedded_places(texts, r)
+                order = np.argsort(own, kind="stable")
+                sought.append((own[order], order))
+                keys.append(embedded_places(rows, r))
+            for i in range(0, len(rows), SEEKERS):
+                pairs = [np.zeros(0, np.int64)]
+                for key, (own, order) in zip(keys, sought, strict=True):
+                    part = key[i : i + SEEKERS]
+                    low, high = np.searchsorted(own, part), np.searchsorted(own, part, side="right")
+                    n = high - low
+                    x = np.repeat(np.arange(len(part)), n)
+                    y = order[np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + low[x]]
+                    pairs.append(x * len(mine) + y)
+                    if sum(map(len, pairs)) > POOL:
+                        pairs = [np.unique(np.concatenate(pairs))]
+                a, b = np.divmod(np.unique(np.concatenate(pairs)), len(mine))
+                for j in range(0, len(a), POOL):
+                    x, y = a[j : j + POOL] + i, b[j : j + POOL]
+                    distance = edit_distances(rows[x], lengths[x], texts[y])
+                    near = distance <= allowed(w, self.items.share)
+                    x, y = x[near], y[near]
+                    self.found.append((docs[x], self.items.ids[mine[y]], start[x], lengths[x], distance[near]))
         self.held, self.size = {}, 0
+
+    def close(self) -> list[tuple[np.ndarray, ...]]:
+        """Document numbers, items' numbers, first words, lengths and distances of what is within the
+        threshold, and an empty pool."""
+        self._flush()
+        out, self.found = self.found, []
         return out
 
 
@@ -235,7 +264,8 @@ def with_windows(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
 
     Words are lower-cased and separated by ASCII white space and punctuation; a window has as many
     words as the item, fewer only at a text's edges. Null and empty texts and items match nothing;
-    items of one id are one item with several texts. Every row is searched by itself, so ids may
+    items of one id are one item with several texts; each text without an id is an item of its own, null
+    in the list. Every row is searched by itself, so ids may
     repeat or be null. Empty tables give empty results.
 
     Rows pass through the tasks that search them; nothing is joined or shuffled. The items go to the
@@ -243,13 +273,13 @@ def with_windows(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
     """
     spark = docs.sparkSession
     small_batches(spark)
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     n_chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-n_chars // (2 * WORDS_A_PASS)))
     rows = docs.drop(out).withColumn(out, F.array().cast(WINDOWS))
     text, last = rows.columns.index("text"), len(rows.columns) - 1
     for k in range(passes):
-        items = prepare([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()], share, recall)
+        items = prepare([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(passes)) == k).collect()], share, recall)
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             pool, held, n, size = _Windows(items), [], 0, 0
@@ -262,7 +292,7 @@ def with_windows(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
                         best[doc, item] = min(got, best.get((doc, item), got))
                 by: dict[int, list[dict]] = {}
                 for (doc, item), (distance, first, length) in sorted(best.items()):
-                    by.setdefault(doc, []).append({"item_id": item, "first_word": first, "n_words": length, "distance": distance})
+                    by.setdefault(doc, []).append({"item_id": items.names[item], "first_word": first, "n_words": length, "distance": distance})
                 at = 0
                 for batch in held:
                     before = batch.column(last).to_pylist()
@@ -277,7 +307,7 @@ def with_windows(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
                         pool.add(words, at, np.arange(n + a, n + b))
                 held.append(batch)
                 n, size = n + batch.num_rows, size + batch.nbytes
-                if pool.size >= POOL or size >= HELD_BYTES:
+                if pool.size + sum(len(f[0]) for f in pool.found) >= POOL or size >= HELD_BYTES:
                     yield from close()
                     held, n, size = [], 0, 0
             yield from close()
