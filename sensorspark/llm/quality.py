@@ -121,7 +121,8 @@ def _sparse(col: pa.Array, s: Settings) -> list[tuple[bytes, bytes]]:
 
 def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """The sample: ``part, turn, y, ids, shares``. Each class gives about ``rows_per_class``
-    documents, chosen by a hash of their ids against a threshold; all of them, if there are fewer."""
+    documents, chosen by a hash of their ids against a threshold; all of them, if there are fewer. Of
+    rows that share an id, the one with the smallest hash of its text stands for it."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).where("__id is not null and y in (0, 1)")
     known = known.groupBy("__id").agg(F.max("y").alias("y"))
@@ -141,7 +142,10 @@ def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
                 )
 
     # The sample has a bound, so it goes to the documents and not they to it.
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "y", "turn").mapInArrow(sparse, "y int, turn double, ids binary, shares binary")
+    found = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("__id", "text", "y", "turn")
+    # One row of an id, so that the sample is bounded in rows as well.
+    first = F.min(F.struct(F.col("text").isNull(), F.xxhash64("text"), "text").alias("x"))["text"]
+    rows = found.groupBy("__id", "y", "turn").agg(first.alias("text")).select("text", "y", "turn").mapInArrow(sparse, "y int, turn double, ids binary, shares binary")
     return via_table(rows.withColumn("part", F.pmod(F.xxhash64("turn"), F.lit(s.parts)).cast("int")), "quality-sample")
 
 

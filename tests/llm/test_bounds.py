@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from sensorspark.llm import decontaminate
+from sensorspark.llm import decontaminate, quality
 
 
 def test_items_without_an_id_contaminate(spark):
@@ -24,3 +24,10 @@ def test_windows_are_searched_as_the_pool_fills(monkeypatch):
     assert pool.size < 8
     found = [np.concatenate(x) for x in zip(*pool.close(), strict=True)]
     assert {(0, 3), (1, 9), (2, 30)} <= set(zip(found[0].tolist(), found[1].tolist(), strict=True))
+
+
+def test_an_id_gives_the_quality_sample_one_row(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(1, None), (2, "good words"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    rows = quality.labelled(docs, labels, quality.Settings()).collect()
+    assert sorted((r["y"], len(r["ids"]) > 0) for r in rows) == [(0, False), (0, True), (1, True)]
