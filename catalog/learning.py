@@ -158,15 +158,11 @@ def facts(predicted: DataFrame, *by: str) -> DataFrame:
 
 
 CUR_FACTS = with_(R, CUR, "SELECT count(*) AS n_rows, true AS beats_mean FROM cur")
-_fits: dict[tuple[str, str], PipelineModel] = {}
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    """The forest at the library's own size, fitted once for a session and its tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _fits:
-        _fits[key] = ml_rf_regressor().fit(spread(patterned(baseline(readings(spark, sf_dir)))))
-    return _fits[key]
+    """The forest at the library's own size, fitted anew by every query on its tables as they are."""
+    return ml_rf_regressor().fit(spread(patterned(baseline(readings(spark, sf_dir)))))
 
 
 def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
