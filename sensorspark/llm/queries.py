@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm import chat, decontaminate, fim, html_extract, jaccard, lines, mixing, neighbours, quality, sharding, warc
+from sensorspark.llm import chat, decontaminate, fim, html_extract, jaccard, lines, mixing, neighbours, quality, ranked, sharding, warc
 from sensorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,36 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_fim_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_max_sketch_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS rid, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+        FROM documents
+    ), g AS (
+        SELECT (count(*) FILTER (len(ts) > 0))::BIGINT AS docs, sum(len(ts))::BIGINT AS terms FROM d
+    ), c AS (
+        SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d) GROUP BY rid, term
+    ), w AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, g GROUP BY term
+    ), i AS (
+        SELECT row_number() OVER () AS iid, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    ), q AS (
+        SELECT DISTINCT iid, item_id, term FROM (
+            SELECT iid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i
+        )
+    ), s AS (
+        SELECT iid, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id,
+            sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+        FROM q JOIN c USING (term) JOIN w USING (term), g GROUP BY iid, rid
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op13_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
