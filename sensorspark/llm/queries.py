@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.llm import chat, decontaminate, fim, html_extract, jaccard, lines, mixing, neighbours, quality, ranked, sharding, warc
+from sensorspark.llm import chat, decontaminate, fim, html_extract, jaccard, lines, mixing, neighbours, pii, quality, ranked, sharding, warc
 from sensorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,3 +257,15 @@ def op12_fim_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_semi_markov_pii")
+def op11_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    # Counts and digest are of the base spans; ``spans`` lists those that the field added as well.
+    of = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(of) - F.size(F.array_remove(of, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
