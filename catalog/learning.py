@@ -37,6 +37,7 @@ from sensorspark.operators.features import (
     ml_standardize,
 )
 from sensorspark.operators.models import (
+    ABLATION_MARGIN,
     ml_ablation,
     ml_baselines,
     ml_batch_score,
@@ -218,7 +219,7 @@ HELD = "substr(md5(CAST(row_key AS VARCHAR)), 1, 4) >= 'cccd'"
         R,
         BASE,
         CUR,
-        "w AS (SELECT count(*) >= 200 AS slid FROM cur)",
+        "w AS (SELECT count(*) > 0 AS slid FROM cur)",
         f"""SELECT slid, (SELECT count(*) FROM base) + CASE WHEN slid THEN (SELECT count(*) FROM cur WHERE NOT {HELD}) ELSE 0 END AS n_train,
         (SELECT count(*) FROM cur WHERE {HELD} OR NOT slid) AS n_rows, true AS beats_mean FROM w""",
     ),
@@ -267,14 +268,13 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), falls.alias("in_order"))
 
 
-@query("ml_ablation", "SELECT true AS both_learn, true AS sensor_helps, 'keep' AS advice")
+@query("ml_ablation", "SELECT true AS learns, true AS gains_more_than_the_margin, 'keep' AS advice")
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The count depends on the sensor, so leaving it out must cost."""
     out = ml_ablation(
         patterned(readings(spark, sf_dir)), ml_rf_regressor(), ml_rf_regressor(with_sensor=False), key=["row_key"]
     )
-    learn = (F.col("r2_with_feature") > 0) & (F.col("r2_without_feature") > 0)
-    return out.select(learn.alias("both_learn"), (F.col("r2_gain") > 0).alias("sensor_helps"), "advice")
+    return out.select((F.col("r2_with_feature") > 0).alias("learns"), (F.col("r2_gain") > ABLATION_MARGIN).alias("gains_more_than_the_margin"), "advice")
 
 
 @query("ml_cross_validate", "SELECT 'r2' AS metric, 3::INTEGER AS folds, true AS learns, true AS spread_known")

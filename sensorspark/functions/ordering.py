@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorspark.functions.columns import micros
+from sensorspark.session import stored_bytes, via_table
 
 BUCKET = "order_bucket"
 
@@ -243,12 +244,33 @@ def hash_cut(
     )
 
 
-def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
-    """Left join of rows to a frame with one row per key. Each key is cut into ``salts`` parts on the
-    side of the rows and repeated as often on the other, so one key's rows meet in many tasks."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
-    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", salt).join(repeated, [*keys, "__salt"], "left").drop("__salt")
+#: A frame of one row per key is broadcast up to so many bytes as stored (what Spark builds of it in
+#: memory is several times that).
+BROADCAST_BYTES = 8 << 20
+#: A key is hot from one in so many rows on; there can be no more hot keys than that.
+HOT_SHARE = 4096
+
+
+def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Left join of rows to a frame with one row per key, whatever share of the rows a key holds.
+
+    The small side is stored, so its size is known. Up to ``most_bytes`` it is broadcast and the rows
+    stay where they are. Beyond, keys are counted; a hot one (``HOT_SHARE``) is cut into as many parts
+    as its count needs on the side of the rows and repeated as often on the other, all others meet as
+    they are. Null keys match nothing."""
+    keys = list(keys)
+    small = via_table(small, "keyed")
+    if stored_bytes(small) <= most_bytes:
+        return rows.join(F.broadcast(small), keys, "left")
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    counts = via_table(counts.dropna(subset=keys), "key-counts")
+    share = (counts.agg(F.sum("__rows")).first()[0] or 0) // HOT_SHARE + 1
+    hot = via_table(counts.where(F.col("__rows") > share).select(*keys, F.ceil(F.col("__rows") / share).cast("int").alias("__parts")), "hot-keys")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]) + F.spark_partition_id(), F.coalesce("__parts", F.lit(1)))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", part.cast("int")).drop("__parts")
+    repeated = small.join(F.broadcast(hot), keys, "left")
+    repeated = repeated.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(repeated, [*keys, "__salt"], "left").drop("__salt")
 
 
 def top_k_per_group(

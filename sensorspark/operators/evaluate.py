@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import divide
+from sensorspark.functions.moments import weighted_moments
 from sensorspark.operators.stats import cumulated_sides, rank_columns
 
 # The gates used by decisions.
@@ -28,20 +29,21 @@ def evl_regression(
     ``weight`` is a column with the number of rows a row stands for."""
     by = list(by or [])
     rows = df.dropna(subset=[y, pred])
-    w = F.lit(1) if weight is None else F.col(weight)
     a, e = F.col(y).cast("double"), F.col(y).cast("double") - F.col(pred).cast("double")
     if weight is None:
-        spread = F.var_pop(a) * F.count(a)
-    else:  # around the mean of all rows, so that values far from 0 keep their digits
-        d = a - rows.agg(F.avg(y)).scalar()
-        spread = F.sum(w * d * d) - F.sum(w * d) * F.sum(w * d) / F.sum(w)
-    sums = rows.groupBy(*by).agg(
-        F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("n"),
-        F.sum(w * e * e).alias("sse"),
-        F.sum(w * F.abs(e)).alias("sae"),
-        spread.alias("sst"),
-        (F.min(a) == F.max(a)).alias("constant"),
-    )
+        sums = rows.groupBy(*by).agg(
+            F.count(a).alias("n"),
+            F.sum(e * e).alias("sse"),
+            F.sum(F.abs(e)).alias("sae"),
+            (F.var_pop(a) * F.count(a)).alias("sst"),
+            (F.min(a) == F.max(a)).alias("constant"),
+        )
+    else:
+        moments = weighted_moments(rows, a, F.col(weight), by, {"sse": e * e, "sae": F.abs(e)})
+        sums = moments.select(
+            *by, F.col("n").cast("bigint").alias("n"), "sse", "sae", F.col("dev2").alias("sst"),
+            (F.col("low") == F.col("high")).alias("constant"),
+        )
     n, sse = F.col("n"), F.col("sse")
     r2 = F.when(F.col("constant"), F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(
         1.0 - divide(sse, F.col("sst"))

@@ -29,7 +29,7 @@ from sensorspark.operators.features import clean_stages, feature_stages
 from sensorspark.operators.split import spl_holdout
 from sensorspark.schema import LOCAL_TIME_ZONE, ROLES, YEAR_BASE, Roles
 
-MIN_CURRENT_ROWS = 200  # fixed value: current rows below this are not trained on
+MIN_CURRENT_ROWS = 200  # fixed value: the usual gate of ``ml_train_window``
 ABLATION_MARGIN = 0.05  # fixed value: R² differences below this do not count
 
 
@@ -59,6 +59,16 @@ def ml_rf_regressor(
     return Pipeline(stages=[*feature_stages(with_sensor, extra, year_base, sensor_as), forest])
 
 
+class LeanForestClassifier(RandomForestClassifier):
+    """A forest whose model leaves its training summary behind: that holds the session, which tasks
+    cannot take along once the session observes anything."""
+
+    def _fit(self, dataset: DataFrame):
+        model = super()._fit(dataset)
+        model._java_obj.setSummary(dataset.sparkSession._jvm.scala.Option.empty())
+        return model
+
+
 def ml_rf_classifier(
     label: str = "affluence", num_trees: int = 100, max_depth: int = 20, seed: int = 42, **params
 ) -> Pipeline:
@@ -78,7 +88,7 @@ def ml_rf_classifier(
                 inputCols=["hour", "day", "month", "weekday", "year", "sensor_idx"],
                 outputCol="features",
             ),
-            RandomForestClassifier(
+            LeanForestClassifier(
                 featuresCol="features",
                 labelCol=label,
                 numTrees=num_trees,
@@ -121,17 +131,18 @@ def ml_train_window(
     current: DataFrame | None,
     estimator: Pipeline,
     key: Sequence[str] = ("sensor_id", "reading_ts"),
-    min_rows: int = MIN_CURRENT_ROWS,
+    min_rows: int | None = None,
 ) -> TrainResult:
     """Fit on the baseline plus 80 % of current data; on the baseline alone, with the ``reason``, when
-    current data is absent, has fewer than ``min_rows`` rows or too different columns. All current
-    rows that are not trained on come back for evaluation."""
+    current data is absent or has too different columns, or fewer rows than a caller's ``min_rows``
+    (``MIN_CURRENT_ROWS`` is the usual gate). All current rows that are not trained on come back for
+    evaluation."""
     train, test, reason = baseline, baseline.limit(0), "no current data"
     if current is not None:
         split = spl_holdout(current, key=key)
         test, reason = current, ""
-        if split.n_train + split.n_test < min_rows:
-            reason = f"fewer than {min_rows} current rows"
+        if split.n_train + split.n_test < (min_rows or 1):
+            reason = f"fewer than {min_rows} current rows" if min_rows else "no current data"
         elif not set_schema_gate(baseline, current):
             reason = "columns differ"
         else:

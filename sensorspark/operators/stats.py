@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import divide
+from sensorspark.functions.moments import weighted_moments
 from sensorspark.functions.ordering import BUCKET, running, split_points, with_bucket
 from sensorspark.functions.tails import (
     kolmogorov_p,
@@ -123,21 +124,13 @@ def stat_paired_t(
     pairs a row stands for."""
     w = F.lit(1) if weight is None else F.col(weight)
     d = F.col(a).cast("double") - F.col(b).cast("double")
-    rows = matched.where(d.isNotNull())
-    centre = rows.agg(F.avg(d)).scalar()
-    e = d - centre
-    sums = rows.agg(
-        F.sum(w).alias("n"), F.sum(w * e).alias("s"), F.sum(w * e * e).alias("s2"), F.max(centre).alias("centre")
-    )
-    return _finish_t(sums, alpha)
+    return _finish_t(weighted_moments(matched, d, w), alpha)
 
 
 def _finish_t(sums: DataFrame, alpha: float) -> DataFrame:
-    """From sums of the differences around ``centre``, a value near their mean."""
-    n, s, s2 = F.col("n"), F.col("s"), F.col("s2")
-    var = divide(s2 - s * s / n, n - 1)
-    mean = F.col("centre") + s / n
-    t = divide(mean, F.sqrt(F.greatest(var, F.lit(0.0)) / n))
+    """From the number, mean and squared deviations of the differences."""
+    n, mean = F.col("n"), F.col("mean")
+    t = divide(mean, F.sqrt(divide(F.col("dev2"), n - 1) / n))
     return (
         sums.select(n.cast("bigint").alias("n_pairs"), mean.alias("mean_difference"), t.alias("t"))
         .withColumn("p_value", student_two_sided_p("t", (F.col("n_pairs") - 1).cast("double")))
@@ -151,15 +144,9 @@ def match_paired_t(matched: DataFrame, alpha: float = 0.05) -> DataFrame:
     # spread by what each side spreads around its own mean.
     na, nb, pairs = F.col("n_a"), F.col("n_b"), F.col("pairs")
     mean = divide(F.col("sum_a"), na) - divide(F.col("sum_b"), nb)
-    centre = matched.agg(F.avg(mean)).scalar()
-    e = mean - centre
-    sums = matched.agg(
-        F.sum("pairs").alias("n"),
-        F.sum(pairs * e).alias("s"),
-        F.sum(F.col("dev2_a") * nb + F.col("dev2_b") * na + pairs * e * e).alias("s2"),
-        F.max(centre).alias("centre"),
-    )
-    return _finish_t(sums, alpha)
+    inside = (F.col("dev2_a") * nb + F.col("dev2_b") * na) / pairs
+    sums = weighted_moments(matched, mean, pairs, sums={"inside": inside})
+    return _finish_t(sums.withColumn("dev2", F.col("dev2") + F.col("inside")), alpha)
 
 
 def _bands(r: Column) -> Column:

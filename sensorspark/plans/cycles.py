@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import ts_of, utc_timestamp
@@ -21,6 +21,7 @@ from sensorspark.operators.models import ml_batch_score, ml_profile_score, ml_tr
 from sensorspark.operators.profile import agg_freshness_check, agg_ingest_check, agg_prediction_check
 from sensorspark.operators.split import spl_temporal
 from sensorspark.schema import ROLES, Roles
+from sensorspark.session import forget, via_table
 from sensorspark.sources.files import src_json_pages
 from sensorspark.sources.sinks import snk_append_partitioned, snk_audit_append, snk_replace_day
 from sensorspark.sources.tables import src_warehouse_window
@@ -50,20 +51,21 @@ def ingest_cycle(
     by_key: bool = False,
 ) -> DataFrame:
     """Pages to the readings table, then the ingest check. New rows are those above the highest
-    stored time; ``by_key`` inserts by key instead, which keeps late rows."""
+    stored time; ``by_key`` inserts by key instead, which keeps late rows. Without new rows nothing is
+    written and the check says ``failed`` with 0 rows."""
     new = api_readings(pages, json_col, now)
     if target is not None:
         new = jn_dedup_merge(new, target) if by_key else flt_high_water(new, target)
-    written = Observation()
-    snk_append_partitioned(
-        new.observe(written, F.count(F.lit(1)).alias("n"), F.min("reading_date").alias("first"), F.max("reading_date").alias("last"), F.count(F.when(F.col("reading_date").isNull(), 1)).alias("undated")),
-        path,
-    )
-    n, first, last, undated = (written.get[c] for c in ("n", "first", "last", "undated"))
+    # What is new is fixed before it is appended, as it may be found by reading the same table.
+    new = via_table(new, "ingest")
+    day = F.col("reading_date")
+    n, first, last, undated = new.agg(F.count(F.lit(1)), F.min(day), F.max(day), F.count(F.when(day.isNull(), 1))).first()
     if n == 0:
+        forget(new)
         return agg_ingest_check(spark.createDataFrame([], new.schema), now, 0)
+    snk_append_partitioned(new, path)
+    forget(new)
     # The check reads the days that the write touched, no others.
-    day = F.col("reading_date")
     touched = day.between(F.lit(first), F.lit(last)) | (day.isNull() & F.lit(undated > 0))
     return agg_ingest_check(spark.read.schema(new.schema).parquet(path).where(touched), now, n)
 
@@ -81,9 +83,12 @@ def score_cycle(
     if agg_freshness_check(readings, now).first()["status"] == "failed":
         raise ValueError("no readings in the last 7 days")
     scored = ml_batch_score(model, src_warehouse_window(readings, now, interval), tags, now)
-    written = Observation()
-    snk_replace_day(scored.observe(written, F.count(F.lit(1)).alias("n"), F.min("pred_date").alias("first"), F.max("pred_date").alias("last")), path)
-    n, first, last = (written.get[c] for c in ("n", "first", "last"))
+    scored = via_table(scored, "scored")
+    n, first, last = scored.agg(F.count(F.lit(1)), F.min("pred_date"), F.max("pred_date")).first()
+    if n == 0:
+        return agg_prediction_check(scored, 0), evl_regression(scored)
+    snk_replace_day(scored, path)
+    forget(scored)
     stored = spark.read.parquet(path).where(F.col("prediction_ts") == ts_of(now))
     stored = stored.where(F.col("pred_date").between(F.lit(first), F.lit(last)))
     return agg_prediction_check(stored, n), evl_regression(stored)

@@ -54,6 +54,13 @@ def via_table(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """The size of a table of ``via_table`` as its files have it."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    system = path.getFileSystem(table._jdf.sparkSession().sessionState().newHadoopConf())
+    return system.getContentSummary(path).getLength()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of ``via_table`` that nothing reads any more."""
     for table in tables:

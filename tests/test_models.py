@@ -6,11 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sensorspark.operators.evaluate import evl_classification, evl_regression
 from sensorspark.operators.features import ml_assemble, ml_clean_pipeline, ml_one_hot, ml_standardize
 from sensorspark.operators.models import (
+    MIN_CURRENT_ROWS,
     ml_ablation,
     ml_baselines,
     ml_batch_score,
@@ -105,6 +107,23 @@ def test_classifier(readings):
     assert model.transform(odd).count() == 2
 
 
+def test_classifier_scores_in_a_session_that_observes(spark, readings, forest, tmp_path):
+    """After both cycles and an observed write, as a fitted model must not carry its session along."""
+    score_cycle(spark, readings, forest, str(tmp_path / "p"), "2024-04-17 15:00:00", {"model_version": "v1"})
+    seen = Observation()
+    readings.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "o"))
+    assert seen.get["n"] == 1200
+    labelled = win_group_threshold(readings).withColumn("affluence", F.col("affluence").cast("double"))
+    model = ml_rf_classifier(**SMALL).fit(labelled)
+    assert evl_classification(model.transform(labelled)).first().accuracy > 0.8
+
+
+def test_nothing_to_score(spark, readings, forest, tmp_path):
+    none = readings.withColumn("reading_ts", F.expr("reading_ts - INTERVAL 3 DAYS"))
+    check, metrics = score_cycle(spark, none, forest, str(tmp_path / "p"), "2024-04-17 15:00:00", {"model_version": "v1"})
+    assert check.first().no_rows and metrics.first().n == 0
+
+
 def test_profile_beats_the_mean(readings):
     cut = F.lit("2024-04-15").cast("timestamp_ntz")
     scored = ml_profile_score(readings.where(F.col("reading_ts") < cut), readings.where(F.col("reading_ts") >= cut))
@@ -136,7 +155,10 @@ def test_train_window(readings):
     est = ml_rf_regressor(num_trees=2, max_depth=3)
     out = ml_train_window(readings, current, est)
     assert out.sliding_window and out.train.count() + out.test_current.count() == 1200 + 800
-    small = ml_train_window(readings, current.limit(199), est)
+    few = current.orderBy("sensor_id", "reading_ts").limit(199)
+    assert ml_train_window(readings, few, est).sliding_window
+    assert ml_train_window(readings, current.limit(0), est).reason == "no current data"
+    small = ml_train_window(readings, few, est, min_rows=MIN_CURRENT_ROWS)
     assert not small.sliding_window and small.train.count() == 1200 and small.reason == "fewer than 200 current rows"
     assert small.test_current.count() == 199
     other = ml_train_window(readings, current.select("sensor_id", "reading_ts").withColumn("x", F.lit(1)), est)
@@ -191,7 +213,13 @@ def test_ingest_cycle(spark, frame, tmp_path):
     stored = spark.read.parquet(path)
     assert ingest_cycle(spark, late, "body", str(tmp_path / "u"), "2024-01-01 13:00:00", stored).first().n_rows == 1
     assert ingest_cycle(spark, late, "body", str(tmp_path / "v"), "2024-01-01 13:00:00", stored, by_key=True).first().n_rows == 2
-    assert ingest_cycle(spark, first, "body", str(tmp_path / "w"), "2024-01-01 13:00:00", stored).first().status == "failed"
+    nothing = ingest_cycle(spark, first, "body", str(tmp_path / "w"), "2024-01-01 13:00:00", stored).first()
+    assert (nothing.status, nothing.n_rows, nothing.expected) == ("failed", 0, 0)
+    # Into the table that is read, new rows once and nothing the second time.
+    now = "2024-01-01 13:00:00"
+    assert ingest_cycle(spark, late, "body", path, now, spark.read.parquet(path), by_key=True).first().n_rows == 2
+    assert ingest_cycle(spark, late, "body", path, now, spark.read.parquet(path), by_key=True).first().status == "failed"
+    assert spark.read.parquet(path).count() == 4
 
 
 def test_years_beyond_the_known_ones(frame):
