@@ -16,6 +16,7 @@ from catalog.base import (
     R,
     SPLIT_AT,
     current,
+    dated,
     query,
     readings,
     requests,
@@ -25,9 +26,9 @@ from catalog.learning import fitted
 from catalog.monitoring import HIST, LATEST, _evaluated, evaluations
 from sensorspark.operators.metrics import alert_rules
 from sensorspark.session import scratch_path
+from sensorspark.streaming.alerts import latest_alerts, str_alert_for
+from sensorspark.streaming.days import read_days
 from sensorspark.streaming.flows import (
-    latest_batch,
-    str_alert_for,
     str_dedup,
     str_incremental_ingest,
     str_late_quarantine,
@@ -86,7 +87,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
     target, checkpoint = scratch_path(spark, "target"), scratch_path(spark, "checkpoint")
     in_parts(spark, r, "reading_ts", lambda s: str_incremental_ingest(s, target, checkpoint))
-    return spark.read.parquet(target).select(*r.columns, "reading_date")
+    return read_days(spark, target).select(*r.columns, "reading_date")
 
 
 @query("str_dedup", with_(R, "SELECT sensor_id, reading_ts, count FROM r"))
@@ -142,7 +143,7 @@ def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "checkpoint")
     tags = {"model_version": "v1"}
     in_parts(spark, rows, "reading_ts", lambda s: str_score(s, model, path, checkpoint, tags))
-    stored = spark.read.parquet(path).withColumn("scored", F.col("prediction").isNotNull())
+    stored = read_days(spark, path).withColumn("scored", F.col("prediction").isNotNull())
     return stored.drop("prediction_ts", "prediction")
 
 
@@ -167,7 +168,7 @@ def late_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(r.schema).parquet(inbox)
         str_late_quarantine(stream, target, late, marks, checkpoint).awaitTermination()
     parts = [
-        spark.read.parquet(p).select("row_key", F.lit(n).alias("part"))
+        read_days(spark, p, dated(r).schema).select("row_key", F.lit(n).alias("part"))
         for n, p in (("in_time", target), ("late", late))
     ]
     return parts[0].unionAll(parts[1])
@@ -183,14 +184,7 @@ def late_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def alert_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, alerts, checkpoint = (scratch_path(spark, n) for n in ("state", "alerts", "checkpoint"))
+    alerts, checkpoint = scratch_path(spark, "alerts"), scratch_path(spark, "checkpoint")
     rules = alert_rules(spark)
-    in_parts(
-        spark,
-        evaluations(spark, sf_dir),
-        "ts",
-        lambda s: str_alert_for(s, rules, state, alerts, checkpoint),
-    )
-    return latest_batch(spark, alerts)
-
-
+    in_parts(spark, evaluations(spark, sf_dir), "ts", lambda s: str_alert_for(s, rules, alerts, checkpoint))
+    return latest_alerts(spark, alerts)

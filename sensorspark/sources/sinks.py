@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from sensorspark.operators.decide import audit_defaults
 
 
-def _clustered(df: DataFrame, part: str, cluster: str) -> DataFrame:
+def clustered(df: DataFrame, part: str, cluster: str) -> DataFrame:
     """Few files per day: small days are merged, a hot day is split over several tasks (both by
     adaptive execution). Rows are sorted so that min/max statistics skip row groups by sensor."""
     return df.hint("rebalance", part).sortWithinPartitions(part, cluster)
@@ -18,7 +18,7 @@ def _clustered(df: DataFrame, part: str, cluster: str) -> DataFrame:
 def snk_append_partitioned(
     df: DataFrame, path: str, part: str = "reading_date", cluster: str = "sensor_id"
 ) -> None:
-    _clustered(df, part, cluster).write.mode("append").partitionBy(part).parquet(path)
+    clustered(df, part, cluster).write.mode("append").partitionBy(part).parquet(path)
 
 
 def snk_replace_day(
@@ -26,7 +26,7 @@ def snk_replace_day(
 ) -> None:
     """Replace exactly the days present in ``df``; other days stay."""
     (
-        _clustered(df, day_col, cluster)
+        clustered(df, day_col, cluster)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(day_col)

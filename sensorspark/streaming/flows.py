@@ -1,13 +1,14 @@
-"""Streams of readings, requests and alert evaluations.
+"""Streams of readings and requests.
 
-Files are the sources and sinks. Offsets live in the checkpoint; whatever a batch writes outside the
-file sink goes to a folder of its own number and is overwritten on a retry, so a repeated batch
-leaves the same result.
+Files are the sources; offsets live in the checkpoint. Tables are written by day, a batch's rows to
+folders of its number, so a repeated batch leaves the same result (``days.py``). Alerts are in
+``alerts.py``.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from datetime import datetime
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorspark.functions.columns import utc_instant, utc_wall
-from sensorspark.operators.metrics import state_now
 from sensorspark.operators.models import ml_batch_score
 from sensorspark.schema import ROLES, Roles
+from sensorspark.streaming.days import compact, delete_folder, start_batches, start_day_sink, touched_days, write_batch
 
 
 def event_time(stream: DataFrame, col: str, delay: str) -> DataFrame:
@@ -30,24 +31,10 @@ def event_time(stream: DataFrame, col: str, delay: str) -> DataFrame:
 def str_incremental_ingest(
     stream: DataFrame, target: str, checkpoint: str, roles: Roles = ROLES, available_now: bool = True
 ) -> StreamingQuery:
-    """New files to the day-partitioned table, each exactly once; the checkpoint takes the place of
-    the highest stored timestamp."""
+    """New files to the day-partitioned table, each exactly once and in few files a day; the
+    checkpoint takes the place of the highest stored timestamp. ``read_days`` reads the table."""
     out = stream.withColumn("reading_date", F.to_date(roles.ts))
-    return _file_sink(out, target, checkpoint, "reading_date", available_now)
-
-
-def _file_sink(
-    df: DataFrame, path: str, checkpoint: str, part: str, available_now: bool
-) -> StreamingQuery:
-    writer = (
-        df.writeStream.format("parquet")
-        .partitionBy(part)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return start_day_sink(out, target, checkpoint, "reading_date", roles.sensor, available_now)
 
 
 def str_dedup(
@@ -105,30 +92,22 @@ def str_score(
     tags: dict[str, str] | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """New readings scored into the day-partitioned prediction table."""
-    return _file_sink(ml_batch_score(model, stream, tags), path, checkpoint, "pred_date", available_now)
+    """New readings scored into the day-partitioned prediction table, in few files a day."""
+    return start_day_sink(ml_batch_score(model, stream, tags), path, checkpoint, "pred_date", available_now=available_now)
 
 
-def _start_batches(stream: DataFrame, work, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+MARKS = T.StructType([T.StructField("mark", T.TimestampNTZType())])
 
 
-def _batch_path(root: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/batch_id={batch_id}"
+def _mark_path(marks: str, batch_id: int) -> str:
+    return f"{marks.rstrip('/')}/mark-{batch_id}"
 
 
-def _table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """All batches written so far; empty before the first."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(with_batch).parquet(root)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], with_batch)
+def _mark(spark: SparkSession, marks: str, batch_id: int) -> datetime | None:
+    """The highest time of all batches up to the given one; null before the first row."""
+    if batch_id < 0:
+        return None
+    return spark.read.schema(MARKS).parquet(_mark_path(marks, batch_id)).first()["mark"]
 
 
 def str_late_quarantine(
@@ -141,99 +120,26 @@ def str_late_quarantine(
     roles: Roles = ROLES,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Rows older than the highest time of earlier batches minus the delay go to a side table
-    instead of being lost; all others to the target. ``marks`` keeps one row per batch."""
-    mark_schema = T.StructType([T.StructField("mark", T.TimestampNTZType())])
+    """Rows older than the watermark (the highest time of earlier batches minus the delay) go to a side
+    table instead of being lost; all others to the target. Both are tables by day (``read_days``; rows
+    without a time are in time). ``marks`` holds the highest time after the newest two batches, so a
+    repeated batch splits its rows as it did the first time and replaces what it wrote."""
+    data = stream.schema
+    day = "reading_date"
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()  # three writes read it
-        seen = _table(spark, marks, mark_schema).where(F.col("batch_id") < batch_id)
-        mark = seen.agg(F.max("mark")).first()[0]
+        mark = _mark(spark, marks, batch_id - 1)
         ts = F.col(roles.ts)
-        is_late = F.lit(False) if mark is None else ts < F.lit(mark) - F.expr(f"INTERVAL {delay}")
-        batch.where(~is_late | ts.isNull()).write.mode("overwrite").parquet(_batch_path(target, batch_id))
-        batch.where(is_late).write.mode("overwrite").parquet(_batch_path(late, batch_id))
-        batch.agg(F.max(ts.cast("timestamp_ntz")).alias("mark")).write.mode("overwrite").parquet(
-            _batch_path(marks, batch_id)
-        )
+        is_late = F.lit(False) if mark is None else F.coalesce(ts < F.lit(mark) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        dated = batch.withColumn(day, F.to_date(ts))
+        for path, rows in ((target, dated.where(~is_late)), (late, dated.where(is_late))):
+            write_batch(rows, batch_id, path, day, roles.sensor)
+            compact(spark, path, batch_id, day, roles.sensor, data, days=touched_days(spark, path, batch_id, day))
+        highest = batch.agg(F.max(ts.cast("timestamp_ntz")).alias("mark"))
+        highest.select(F.greatest("mark", F.lit(mark).cast("timestamp_ntz")).alias("mark")).coalesce(1).write.mode("overwrite").parquet(_mark_path(marks, batch_id))
+        delete_folder(spark, _mark_path(marks, batch_id - 2))
         batch.unpersist()
 
-    return _start_batches(stream, work, checkpoint, available_now)
-
-
-ALERT_STATE = T.StructType(
-    [
-        T.StructField("rule", T.StringType()),
-        T.StructField("instance", T.StringType()),
-        T.StructField("last_ok", T.TimestampNTZType()),
-        T.StructField("since", T.TimestampNTZType()),
-        T.StructField("last_ts", T.TimestampNTZType()),
-        T.StructField("breach", T.BooleanType()),
-    ]
-)
-
-
-def merge_alert_state(old: DataFrame, batch: DataFrame) -> DataFrame:
-    """Alert state after a batch of evaluations, from two aggregations; ``old`` has one row per
-    alert. The breach that counts is the first after the last evaluation that was fine."""
-    keys = ["rule", "instance"]
-    evals = batch.select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"), "breach")
-    carried = old.where(F.col("since").isNotNull()).select(
-        *keys, F.col("since").alias("ts"), F.lit(True).alias("breach")
-    )
-    fine = old.where(F.col("last_ok").isNotNull()).select(
-        *keys, F.col("last_ok").alias("ts"), F.lit(False).alias("breach")
-    )
-    newest = old.select(*keys, F.col("last_ts").alias("ts"), "breach")
-    rows = evals.unionByName(carried).unionByName(fine).unionByName(newest)
-    last = rows.groupBy(*keys).agg(
-        F.max(F.when(~F.col("breach"), F.col("ts"))).alias("last_ok"),
-        F.max("ts").alias("last_ts"),
-        F.max_by("breach", F.struct("ts", "breach")).alias("breach"),
-    )
-    since = (
-        rows.where(F.col("breach"))
-        .join(last.select(*keys, "last_ok"), keys)
-        .where(F.col("last_ok").isNull() | (F.col("ts") > F.col("last_ok")))
-        .groupBy(*keys)
-        .agg(F.min("ts").alias("since"))
-    )
-    return last.join(since, keys, "left").select(*[f.name for f in ALERT_STATE.fields])
-
-
-def str_alert_for(
-    stream: DataFrame,
-    rules: DataFrame,
-    state: str,
-    alerts: str,
-    checkpoint: str,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Alert states from a stream of evaluations (rule, instance, ts, breach): a condition fires
-    once it has held for its rule's duration. Each batch writes the new state of every alert and
-    the alerts (Normal, Pending, Firing, NoData) as of the newest evaluation."""
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = (
-            _table(spark, state, ALERT_STATE).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
-        )
-        here = _batch_path(state, batch_id)
-        merge_alert_state(previous, batch).write.mode("overwrite").parquet(here)
-        now = spark.read.schema(ALERT_STATE).parquet(here)
-        named_alerts(now, rules).write.mode("overwrite").parquet(_batch_path(alerts, batch_id))
-
-    return _start_batches(stream, work, checkpoint, available_now)
-
-
-def named_alerts(state: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alerts as of the newest evaluation of all: a series that has fallen silent by then takes its
-    rule's no-data policy, as in the batch form."""
-    return state_now(state, rules, state.agg(F.max("last_ts")).scalar())
-
-
-def latest_batch(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of the newest batch folder of a table."""
-    df = spark.read.parquet(root)
-    return df.where(F.col("batch_id") == df.agg(F.max("batch_id")).scalar()).drop("batch_id")
+    return start_batches(stream, work, checkpoint, available_now)
