@@ -28,6 +28,7 @@ from sensorspark.operators.evaluate import (
     evl_champion_baseline,
     evl_classification,
 )
+from sensorspark.operators.encode import ml_target_encode
 from sensorspark.operators.features import (
     ml_assemble,
     ml_clean_pipeline,
@@ -103,6 +104,31 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+ENCODED = """tf AS (SELECT *, reading_ts >= TIMESTAMP '2024-01-22' AS late, ('0x' || substr(md5(CAST(row_key AS VARCHAR) || 'fold'), 1, 8))::BIGINT % 5 AS fold FROM r),
+    ts AS (SELECT sensor_id, fold, count(*) AS n, sum(count) AS s FROM tf WHERE NOT late GROUP BY ALL),
+    ta AS (SELECT sensor_id, sum(n) AS n, sum(s) AS s FROM ts GROUP BY 1),
+    tm AS (SELECT avg(count) AS prior FROM tf WHERE NOT late)"""
+
+
+@query(
+    "ml_target_encode",
+    with_(
+        R,
+        ENCODED,
+        """SELECT row_key, CASE WHEN late THEN (coalesce(a.s, 0) + 10 * prior) / (coalesce(a.n, 0) + 10)
+          ELSE (a.s - f.s + 10 * prior) / (a.n - f.n + 10) END AS sensor_mean
+        FROM tf LEFT JOIN ta a USING (sensor_id) LEFT JOIN ts f ON f.sensor_id = tf.sensor_id AND f.fold = tf.fold, tm""",
+    ),
+    rounds=["sensor_mean"],
+)
+def target_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early readings out of fold, later ones by all early readings."""
+    r = readings(spark, sf_dir)
+    early = baseline(r)
+    parts = [ml_target_encode(early, keyCols=["row_key"]), ml_target_encode(current(r), fit_on=early, keyCols=["row_key"])]
+    return parts[0].unionByName(parts[1]).select("row_key", "sensor_mean")
+
+
 @query(
     "ml_standardize",
     with_(
@@ -144,6 +170,15 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "ml_assemble_target",
+    with_(R, f"f AS ({CYCLE})", "SELECT row_key, (SELECT CAST(count(DISTINCT weekday) + 7 AS INTEGER) FROM f) AS width FROM f"),
+)
+def assemble_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The width does not follow the sensors."""
+    return ml_assemble(readings(spark, sf_dir), sensor_as="target").select("row_key", F.size(vector_to_array("features")).alias("width"))
+
+
 def patterned(df: DataFrame) -> DataFrame:
     """Readings whose count follows from the sensor and the hour, so that a model which learns must
     do better than the mean."""
@@ -161,9 +196,9 @@ def facts(predicted: DataFrame, *by: str) -> DataFrame:
 CUR_FACTS = with_(R, CUR, "SELECT count(*) AS n_rows, true AS beats_mean FROM cur")
 
 
-def fitted(spark: SparkSession, sf_dir: str) -> PipelineModel:
+def fitted(spark: SparkSession, sf_dir: str, **options) -> PipelineModel:
     """The forest at the library's own size, fitted anew by every query on its tables as they are."""
-    return ml_rf_regressor().fit(spread(patterned(baseline(readings(spark, sf_dir)))))
+    return ml_rf_regressor(**options).fit(spread(patterned(baseline(readings(spark, sf_dir)))))
 
 
 def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,8 +296,8 @@ def profile_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of the forest, most important first."""
-    top = ml_feature_importance(fitted(spark, sf_dir), readings(spark, sf_dir), k=1 << 30)
+    """All features of the forest, most important first, with a column for each sensor."""
+    top = ml_feature_importance(fitted(spark, sf_dir, sensor_as="one_hot"), readings(spark, sf_dir), k=1 << 30)
     w = F.sort_array(F.collect_list(F.struct("position", "importance")))
     falls = F.forall(F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("a"), F.slice(w, 2, F.size(w)).alias("b")), lambda p: p["a"]["importance"] >= p["b"]["importance"])
     return top.agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), falls.alias("in_order"))

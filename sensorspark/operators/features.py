@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import cyclic, year_index
 from sensorspark.functions.ordering import running, salted_join, with_bucket
+from sensorspark.operators.encode import TargetEncoding
 from sensorspark.operators.clean import (
     prj_calendar_parts,
     prj_downcast,
@@ -144,18 +145,22 @@ def feature_stages(
     extra: Sequence[str] = (),
     year_base: int = YEAR_BASE,
     sensor_as: str = "one_hot",
+    label: str = "count",
 ) -> list:
     """The fixed feature set: weekday and sensor one-hot, six scaled numbers, extra numbers as they
     are. Output column ``features``.
 
-    ``sensor_as="category"`` gives the sensor as one categorical feature instead, which trees split
-    by groups of sensors: one column however many sensors there are."""
-    if sensor_as not in ("one_hot", "category"):
+    ``sensor_as="target"`` gives the sensor as the mean of its target in other folds (one column, a table
+    of sensors, nothing on the driver), ``"category"`` as one categorical feature, which trees split by
+    groups of sensors (the labels are on the driver, as with one-hot columns)."""
+    if sensor_as not in ("one_hot", "category", "target"):
         raise ValueError(f"sensor_as: {sensor_as}")
     hot = ["weekday"]
     sensor, stages = [], []
     if with_sensor and sensor_as == "one_hot":
         hot.append("sensor_id")
+    elif with_sensor and sensor_as == "target":
+        sensor, stages = ["sensor_mean"], [TargetEncoding(labelCol=label)]
     elif with_sensor:
         sensor = ["sensor_id_label"]
         stages = [
@@ -180,9 +185,10 @@ def feature_stages(
 
 
 def ml_assemble(
-    df: DataFrame, features: Sequence[str] | None = None, year_base: int = YEAR_BASE
+    df: DataFrame, features: Sequence[str] | None = None, year_base: int = YEAR_BASE, sensor_as: str = "one_hot"
 ) -> DataFrame:
-    """Readings with their feature vector: the fixed set, or the named numeric columns."""
+    """Readings with their feature vector: the fixed set, or the named numeric columns. Its width
+    follows the sensors only with ``sensor_as="one_hot"``."""
     if features is not None:
         return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-    return Pipeline(stages=feature_stages(year_base=year_base)).fit(df).transform(df)
+    return Pipeline(stages=feature_stages(year_base=year_base, sensor_as=sensor_as)).fit(df).transform(df)

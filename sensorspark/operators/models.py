@@ -11,7 +11,6 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
-    FMRegressor,
     GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
@@ -21,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import ts_of
-from sensorspark.functions.ordering import hash_order, salted_join
+from sensorspark.functions.ordering import salted_join
 from sensorspark.operators.clean import prj_calendar_parts
 from sensorspark.operators.combine import set_concat_align, set_schema_gate
+from sensorspark.operators.encode import SensorEmbedding, fold_of
 from sensorspark.operators.evaluate import evl_regression
 from sensorspark.operators.features import clean_stages, feature_stages
 from sensorspark.operators.split import spl_holdout
@@ -41,12 +41,12 @@ def ml_rf_regressor(
     with_sensor: bool = True,
     extra: Sequence[str] = (),
     year_base: int = YEAR_BASE,
-    sensor_as: str = "one_hot",
+    sensor_as: str = "target",
     **params,
 ) -> Pipeline:
-    """Features and a random forest that looks at every feature in each split. With many sensors
-    take ``sensor_as="category"`` and ``maxBins`` above their number: one column then stands for
-    all sensors."""
+    """Features and a random forest that looks at every feature in each split. The sensor is one
+    column, the mean of its target in other folds; ``sensor_as="one_hot"`` has a column for each
+    sensor, ``"category"`` one that needs ``maxBins`` above their number."""
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=label,
@@ -56,7 +56,7 @@ def ml_rf_regressor(
         featureSubsetStrategy="all",
         **params,
     )
-    return Pipeline(stages=[*feature_stages(with_sensor, extra, year_base, sensor_as), forest])
+    return Pipeline(stages=[*feature_stages(with_sensor, extra, year_base, sensor_as, label), forest])
 
 
 class LeanForestClassifier(RandomForestClassifier):
@@ -103,12 +103,10 @@ def ml_rf_classifier(
 def ml_embedding_regressor(
     factor_size: int = 8, label: str = "count", seed: int = 42, year_base: int = YEAR_BASE, **params
 ) -> Pipeline:
-    """A learned vector per sensor: factorization machine over one-hot sensors and scaled numbers."""
-    fm = FMRegressor(
-        featuresCol="features", labelCol=label, factorSize=factor_size, seed=seed,
-        **{"stepSize": 0.1, "maxIter": 50, **params},
-    )
-    return Pipeline(stages=[*feature_stages(year_base=year_base), fm])
+    """A learned vector per sensor, a table that is trained in shards by stochastic gradient descent
+    (``SensorEmbedding``), over weekday and scaled numbers."""
+    fit = SensorEmbedding(labelCol=label, factorSize=factor_size, seed=seed, **params)
+    return Pipeline(stages=[*feature_stages(False, year_base=year_base), fit])
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -257,7 +255,6 @@ def ml_cross_validate(
 ) -> DataFrame:
     """Mean and standard deviation of a metric over folds. Folds follow the key's hash, so they do
     not change with partitioning."""
-    fold = F.pmod(F.conv(F.substring(hash_order(key, "fold"), 1, 8), 16, 10).cast("bigint"), F.lit(folds))
     cv = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=[{}],
@@ -265,7 +262,7 @@ def ml_cross_validate(
         numFolds=folds,
         foldCol="fold",
     )
-    fitted = cv.fit(spread(df).withColumn("fold", fold.cast("int")))
+    fitted = cv.fit(spread(df).withColumn("fold", fold_of(key, folds)))
     return df.sparkSession.createDataFrame(
         [(metric, folds, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))],
         "metric string, folds int, mean double, std double",
@@ -273,7 +270,7 @@ def ml_cross_validate(
 
 
 def baseline_estimators(label: str = "count", year_base: int = YEAR_BASE) -> dict[str, Pipeline]:
-    stages = feature_stages(year_base=year_base)
+    stages = feature_stages(year_base=year_base, sensor_as="target", label=label)
     return {
         "linear": Pipeline(stages=[*stages, LinearRegression(labelCol=label, regParam=0.01)]),
         "boosted_trees": Pipeline(
