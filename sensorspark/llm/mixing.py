@@ -1,7 +1,7 @@
 """Mixing of sources to target weights by weighted sampling without replacement.
 
 Efraimidis-Spirakis keys: a document of quality weight ``w`` gets the key ``-ln(u) / w`` with a
-uniform ``u`` that its id alone decides. A source's target is met by complete epochs first; the rest
+uniform ``u`` that its id and text decide; of rows equal in both each has its own. A source's target is met by complete epochs first; the rest
 is taken in the order of the keys until the running sum of sizes reaches the budget.
 """
 
@@ -18,6 +18,8 @@ from sensorspark.llm.common import WORD, before, ranked, via_table
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times.
 MOST_EPOCHS = 3
+#: Weight of a document that no label speaks of.
+UNLABELLED = 0.5
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -49,10 +51,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     return rows.select("source", "source_size", "weight", F.least(cap, F.coalesce("level", F.lit(float("inf"))) * w).alias("target"))
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """In (0, 1): 52 bits of the md5 of the key's text and the seed."""
-    digits = F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(seed)))), 1, 13)
-    return (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
+def uniform(text: Column) -> Column:
+    """In (0, 1): 52 bits of the md5 of a text."""
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
+
+
+def numbered_copies(rows: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+    """Numbers rows that agree in ``by`` from 0, whatever share of the rows they are. Rows are stored
+    with the task that wrote them; a task's rows of a key are numbered, and earlier tasks' counts of
+    the key added: one row for each key and task that repeats it."""
+    stored = via_table(rows.withColumn("__task", F.spark_partition_id()), "mix-rows")
+    here = Window.partitionBy("__task", *by).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    local = stored.withColumn("__local", F.row_number().over(here) - 1)
+    counts = stored.groupBy("__task", *by).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__first", F.sum("__n").over(earlier)).where("__first > 0").drop("__n")
+    names = {c: f"__of_{i}" for i, c in enumerate([*by, "__task"])}
+    offsets = offsets.withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    on = same[0]
+    for c in same[1:]:
+        on &= c
+    numbered = local.join(offsets, on, "left").withColumn(out, (F.col("__local") + F.coalesce("__first", F.lit(0))).cast("bigint"))
+    return numbered.drop("__local", "__first", "__task", *names.values())
 
 
 def mix_sources(
@@ -61,27 +82,33 @@ def mix_sources(
     weights: Sequence[float] = WEIGHTS,
     most: int = MOST_EPOCHS,
     seed: int = 7,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, size, source, weight, sample_key, source_size, target, epochs, part, taken``.
+    """``doc_id, size, source, weight, sample_key, source_size, target, epochs, part, taken``, and the
+    columns ``keep`` of ``docs``.
 
     - ``size``: words of the text (null text: 0); ``quality`` (``doc_id, weight`` > 0, one row a
-      document) scales the keys, 1.0 where it names none.
+      document) scales the keys, ``UNLABELLED`` where it names none, 1 for all without it.
     - ``epochs`` complete passes over the source, then ``part`` words by the order of the keys: all
       of a document's words, or of the one document that crosses the budget as many as are left.
       ``taken = epochs * size + part``, so a source's taken words are its target, rounded.
-    - Ties of the key go by id, then by size. Repeated rows are documents of their own. Null ids
-      and null sources are values like others. An empty table gives an empty result.
+    - Ties of the key go by id, text and number of the copy. Repeated rows are documents of their own
+      with draws of their own, as are rows without an id. Null ids and null sources are values like
+      others. An empty table gives an empty result.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
     if quality is not None:
         q = quality.select(F.col("doc_id").alias("__id"), F.col("weight").alias("__w")).where("__w > 0")
         rows = rows.join(q.groupBy("__id").agg(F.max("__w").alias("__w")), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     else:
         rows = rows.withColumn("__w", F.lit(1.0))
-    rows = rows.withColumn("weight", F.coalesce("__w", F.lit(1.0)).cast("double")).drop("__w")
-    rows = rows.withColumn("sample_key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("weight"))
-    order = [F.col("source").asc_nulls_last(), F.col("sample_key"), F.col("doc_id").asc_nulls_last(), F.col("size")]
+    rows = rows.withColumn("weight", F.coalesce("__w", F.lit(UNLABELLED)).cast("double")).drop("__w")
+    rows = numbered_copies(rows, ["source", "doc_id", "__text"], "__copy")
+    draw = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__text", "__copy", F.lit(str(seed)))
+    rows = rows.withColumn("sample_key", -F.ln(uniform(draw)) / F.col("weight"))
+    order = [F.col("source").asc_nulls_last(), F.col("sample_key"), F.col("doc_id").asc_nulls_last(), F.col("__text"), F.col("__copy")]
     placed = ranked(rows, order, "mix")
 
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -99,26 +126,28 @@ def mix_sources(
     return out.select(
         "doc_id", "size", "source", "weight", "sample_key", "source_size", "target", "epochs",
         part.cast("bigint").alias("part"),
+        *[F.col(f"__keep_{c}").alias(c) for c in keep],
         (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"),
     )
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
-    """Quality weights from labels: 1 for good, 0.25 for bad documents, 0.5 without a quality. Of
-    several labels of a document the best counts."""
-    w = F.when(F.col("quality") >= 1, 1.0).when(F.col("quality") < 1, 0.25).otherwise(0.5)
+    """Quality weights from labels: 1 for good, 0.25 for bad documents, that of unlabelled ones without
+    a quality. Of several labels of a document the best counts."""
+    w = F.when(F.col("quality") >= 1, 1.0).when(F.col("quality") < 1, 0.25).otherwise(UNLABELLED)
     return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(w).alias("weight"))
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """The documents of the mix, all their columns, whole: one row for each time a document is
-    taken. The document that crosses a source's budget is taken if half of it or more fits."""
-    # Rows carry a digest, so that repeated ids with different texts or sources meet their own decision.
-    plan = mix_sources(docs, quality, **options)
+    taken. The document that crosses a source's budget is taken if half of it or more fits.
+
+    Documents are stored with a number of their own, so every row meets its own decision, whatever
+    ids and texts repeat."""
+    row = "__row"
+    stored = via_table(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    plan = mix_sources(stored, quality, keep=[row], **options)
     times = F.col("epochs") + F.when((F.col("part") * 2 >= F.col("size")) & (F.col("part") > 0), 1).otherwise(0)
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__size"), times.cast("int").alias("__times"))
-    plan = plan.groupBy("__id", "__src", "__size").agg(F.max("__times").alias("__times"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__src")) & (size == F.col("__size"))
-    kept = docs.join(plan.where("__times > 0"), on)
+    plan = plan.select(row, times.cast("int").alias("__times")).where("__times > 0")
+    kept = stored.join(plan, row)
     return kept.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

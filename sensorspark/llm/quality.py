@@ -222,8 +222,9 @@ def score(text: Column, model: Model) -> Column:
 
 
 def learns(doc_id: str = "doc_id") -> Column:
-    """Labels may be learned from: the id's remainder is not that of the held-out fold."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) != 0
+    """Labels may be learned from: the id's remainder is not that of the held-out fold. A null id counts
+    as the empty text, whose remainder is 0: held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) != 0
 
 
 THRESHOLD = 0.3

@@ -80,11 +80,13 @@ def op6_line_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op10_mixing",
     r"""
     WITH d AS (
-        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1 AS copy
+        FROM documents
     ), q AS (
         SELECT doc_id, max(CASE WHEN quality >= 1 THEN 1.0 WHEN quality < 1 THEN 0.25 ELSE 0.5 END)::DOUBLE AS w FROM labels GROUP BY doc_id
     ), k AS (
-        SELECT d.*, -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':7'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / coalesce(q.w, 1.0) AS key
+        SELECT d.*, -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || digest || ':' || copy || ':7'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / coalesce(q.w, 0.5) AS key
         FROM d LEFT JOIN q USING (doc_id)
     ), s AS (
         SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source
@@ -101,7 +103,7 @@ def op6_line_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT source, source_size, least(cap, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()) AS target FROM v
     ), r AS (
         SELECT k.doc_id, k.size, t.source_size::BIGINT AS source_size, t.target, floor(coalesce(t.target / nullif(t.source_size, 0), 0))::BIGINT AS epochs,
-            coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS LAST, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS earlier
+            coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS LAST, k.digest, k.copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS earlier
         FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
     )
     SELECT doc_id, size, source_size, target,

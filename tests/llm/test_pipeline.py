@@ -88,7 +88,7 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
 def test_without_labels_and_benchmark(spark, folder, tmp_path):
     """Nothing is rejected; copies still go."""
     path, _ = folder
-    docs = spark.read.parquet(f"{path}/documents.parquet").limit(40)
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 40")
     docs.union(docs).write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
