@@ -31,6 +31,7 @@ from catalog.base import (
     typed_readings,
     with_,
 )
+from sensorspark.operators.daily import daily_states, describe_of, period_profile_of
 from sensorspark.operators.profile import (
     agg_continuity_gap,
     agg_corr_matrix,
@@ -60,6 +61,7 @@ from sensorspark.operators.profile import (
     sensor_means,
 )
 from sensorspark.schema import Roles
+from sensorspark.session import via_table
 
 MAX_P = "(SELECT max(prediction_ts) FROM preds)"
 
@@ -252,6 +254,37 @@ def period_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg_period_profile(rt)
 
 
+@query(
+    "agg_period_profile_daily",
+    with_(RT, f"SELECT * EXCLUDE (n_sensors), true AS sensors_close FROM (SELECT source, {PERIOD} FROM rt GROUP BY source UNION ALL SELECT 'TOTAL', {PERIOD} FROM rt)"),
+    rounds=["valid_pct"],
+)
+def period_profile_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored daily states; distinct sensors within 5 % of the exact number (three standard errors)."""
+    rt = typed_readings(spark, sf_dir).withColumn("count", F.col("count") - 20)
+    states = via_table(daily_states(rt, ["source"]), "daily-states")
+    exact = agg_period_profile(rt).select("source", F.col("n_sensors").alias("exact"))
+    close = F.abs(F.col("n_sensors") - F.col("exact")) <= 0.05 * F.col("exact")
+    return period_profile_of(states).join(exact, "source").withColumn("sensors_close", close).drop("n_sensors", "exact")
+
+
+@query(
+    "agg_describe_daily",
+    with_(RT, f"SELECT source, n_rows, mean, std, min, max, true AS quartiles_close FROM (SELECT source, {DESCRIBE} FROM rt GROUP BY source)"),
+    rounds=["mean", "std", "min", "max"],
+)
+def describe_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored daily states; each quartile's exact rank within 2 % of where it should be."""
+    rt = typed_readings(spark, sf_dir)
+    d = describe_of(via_table(daily_states(rt, ["source"]), "daily-states"), ["source"])
+    v, n = F.col("count"), F.count(F.lit(1))
+    met = rt.select("source", "count").join(d.select("source", "q25", "q50", "q75"), "source").groupBy("source")
+    fine = F.lit(True)
+    for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        fine &= (F.count(F.when(v < F.col(q), 1)) / n <= p + 0.02) & (F.count(F.when(v <= F.col(q), 1)) / n >= p - 0.02)
+    return d.drop("q25", "q50", "q75").join(met.agg(fine.alias("quartiles_close")), "source")
+
+
 @query(
     "agg_day_coverage",
     with_(

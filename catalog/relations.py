@@ -30,6 +30,8 @@ from catalog.base import (
     typed_readings,
     with_,
 )
+from sensorspark.session import scratch_path
+from sensorspark.sources.sinks import snk_bucketed
 from sensorspark.operators.clean import prj_floor_hour, prj_norm_key
 from sensorspark.operators.joins import (
     jn_dedup_merge,
@@ -72,6 +74,26 @@ def pred_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn_pred_actual(predictions(spark, sf_dir), r, newest(r))
 
 
+@query(
+    "jn_pred_actual_bucketed",
+    with_(
+        *PREDS,
+        f"""SELECT sensor_id, reading_ts, preds.prediction, model_version, prediction_ts, r.count, count(*) AS n_rows
+        FROM preds JOIN r USING (sensor_id, reading_ts)
+        WHERE reading_ts >= {WEEK} GROUP BY ALL""",
+    ),
+    rounds=["prediction"],
+)
+def pred_actual_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides from bucketed tables: nothing is shuffled."""
+    r = readings(spark, sf_dir)
+    sides = []
+    for name, df in (("predictions", predictions(spark, sf_dir)), ("readings", r)):
+        path = scratch_path(spark, name)
+        sides.append(snk_bucketed(df, "bucketed_" + path.rsplit("-", 1)[1], path, buckets=16))
+    return jn_pred_actual(*sides, newest(r))
+
+
 @query(
     "jn_pred_actual_latest",
     with_(
@@ -147,6 +169,12 @@ def known_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn_known_semi(r, known_sensors(r))
 
 
+@query("jn_known_semi_prefilter", with_(R, KNOWN, "SELECT * FROM r WHERE sensor_id IN (SELECT sensor_id FROM known)"))
+def known_semi_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readings(spark, sf_dir)
+    return jn_known_semi(r, known_sensors(r), prefilter=True)
+
+
 @query(
     "jn_unknown_anti",
     with_(

@@ -41,6 +41,7 @@ from sensorspark.sources.sinks import (
 )
 from sensorspark.sources.tables import (
     src_daily_union,
+    src_days,
     src_first_n,
     src_unified_view,
     src_warehouse_window,
@@ -150,6 +151,24 @@ def wildcard_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src_wildcard_partitions(spark, path, "2024-01-25")
 
 
+@query(
+    "src_days",
+    with_(
+        R,
+        "rd AS (SELECT *, CAST(reading_ts AS DATE) AS reading_date FROM r)",
+        "SELECT * FROM rd WHERE reading_date IN (SELECT reading_date FROM rd GROUP BY 1 HAVING max(count) >= (SELECT max(count) - 2 FROM r))",
+    ),
+)
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that saw the highest counts, from a table by day."""
+    r = dated(readings(spark, sf_dir))
+    path = scratch_path(spark, "by-day")
+    snk_append_partitioned(r, path)
+    highest = r.agg(F.max("count")).first()[0]
+    named = r.groupBy("reading_date").agg(F.max("count").alias("most")).where(F.col("most") >= (highest or 0) - 2)
+    return src_days(spark.read.parquet(path), named).select(*r.columns)
+
+
 @query(
     "src_unified_view",
     with_(

@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorspark.functions.bloom import bloom_prefilter
 from sensorspark.functions.columns import since, ts_of
 from sensorspark.operators.ranking import win_latest_prediction
 from sensorspark.schema import ROLES, Roles
@@ -91,9 +92,12 @@ def match_rate(matched: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def jn_known_semi(df: DataFrame, known: DataFrame, roles: Roles = ROLES) -> DataFrame:
-    """Rows whose sensor is known."""
-    return df.join(known.select(roles.sensor).distinct(), roles.sensor, "left_semi")
+def jn_known_semi(df: DataFrame, known: DataFrame, roles: Roles = ROLES, prefilter: bool = False) -> DataFrame:
+    """Rows whose sensor is known. ``prefilter`` is for known sets too large to broadcast: a Bloom filter
+    of them (1 MB) drops nearly all other rows where they lie, so the exact join shuffles few."""
+    labels = known.select(roles.sensor).distinct()
+    rows = bloom_prefilter(df, labels, [roles.sensor]) if prefilter else df
+    return rows.join(labels, roles.sensor, "left_semi")
 
 
 def unknown_rows(df: DataFrame, known: DataFrame, roles: Roles = ROLES) -> DataFrame:

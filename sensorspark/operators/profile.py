@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import date, datetime
 from itertools import combinations
 
@@ -21,6 +22,7 @@ from sensorspark.functions.ordering import (
     with_bucket,
 )
 from sensorspark.operators.clean import prj_calendar_parts, prj_day_type
+from sensorspark.operators.daily import daily_states, describe_of, outliers_of, period_profile_of
 from sensorspark.schema import LOCAL_TIME_ZONE, ROLES, Roles
 from sensorspark.session import via_table
 
@@ -94,12 +96,15 @@ def agg_prediction_check(
 
 
 def agg_describe(
-    df: DataFrame, col: str, by: Sequence[str] | None = None, points: Sequence[float] | None = None
+    df: DataFrame, col: str, by: Sequence[str] | None = None, points: Sequence[float] | None = None, approx: bool = False
 ) -> DataFrame:
     """count, mean, sample standard deviation, min, exact quartiles and max, per group.
 
-    All of it comes from one pass over distinct values with their counts."""
+    All of it comes from one pass over distinct values with their counts. ``approx`` takes the quartiles
+    from sketches of a day's values instead, in one aggregation (``daily.py``)."""
     by = list(by or [])
+    if approx:
+        return describe_of(daily_states(df, by, replace(ROLES, value=col)), by)
     points = split_points(df, col) if points is None else points
     ranked = ranked_values(df, by, col, points)
     x, n = F.col("x").cast("double"), F.col("n")
@@ -205,10 +210,13 @@ def agg_key_distribution(df: DataFrame, rare_below: int = 10, roles: Roles = ROL
     )
 
 
-def agg_period_profile(df: DataFrame, source_col: str = "source", roles: Roles = ROLES) -> DataFrame:
+def agg_period_profile(df: DataFrame, source_col: str = "source", roles: Roles = ROLES, approx: bool = False) -> DataFrame:
     """Period, span, rows, valid rows and sensors per source, and in total (source ``TOTAL``).
 
-    Rows are first reduced to (source, sensor); the totals are rolled up from those."""
+    Rows are first reduced to (source, sensor); the totals are rolled up from those. ``approx`` counts
+    sensors by sketches instead, in one aggregation."""
+    if approx:
+        return period_profile_of(daily_states(df, [source_col], roles), source_col)
     per = df.groupBy(F.col(source_col).alias("source"), F.col(roles.sensor).alias("s")).agg(
         n_rows().alias("n"),
         F.count(F.when(F.col(roles.value) > 0, 1)).alias("v"),
@@ -396,9 +404,13 @@ def agg_outliers_iqr(
     k: float = 1.5,
     by: Sequence[str] | None = None,
     points: Sequence[float] | None = None,
+    approx: bool = False,
 ) -> DataFrame:
-    """Quartiles, bounds at ``k`` interquartile ranges, and the rows outside them."""
+    """Quartiles, bounds at ``k`` interquartile ranges, and the rows outside them; with ``approx`` from
+    sketches of the values, in one aggregation."""
     by = list(by or [])
+    if approx:
+        return outliers_of(daily_states(df, by, replace(ROLES, value=col)), k, by)
     ranked = ranked_values(df, by, col, points)
     quart = ranked.groupBy(*by).agg(*quantile_columns({"q1": 0.25, "q3": 0.75}))
     iqr = F.col("q3") - F.col("q1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,15 @@ def snk_replace_day(
     )
 
 
+def snk_bucketed(df: DataFrame, table: str, path: str, by: Sequence[str] = ("sensor_id", "reading_ts"), buckets: int = 200) -> DataFrame:
+    """A table whose files are bucketed and sorted by ``by``: joins and aggregations by those columns
+    with other tables of as many buckets need no shuffle. Each bucket is one file, so ``buckets`` should
+    follow the table's size. Returns the table."""
+    rows = df.repartition(buckets, *by)
+    rows.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def snk_audit_append(df: DataFrame, path: str) -> None:
     """Append audit rows, with every default filled in."""
     audit_defaults(df).write.mode("append").parquet(path)

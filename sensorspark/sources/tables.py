@@ -60,6 +60,14 @@ def src_unified_view(
     )
 
 
+def src_days(df: DataFrame, days: DataFrame, part: str = "reading_date") -> DataFrame:
+    """The rows of the days that another table names (days to load again, days with alerts). The days
+    (one row each, so there are never many) are broadcast, and the same broadcast prunes the scan of a
+    table that is partitioned by day: other folders are not read."""
+    named = days.select(F.col(part).cast("date").alias(part)).where(F.col(part) > F.lit("0001-01-01").cast("date")).distinct()
+    return df.join(F.broadcast(named), part, "left_semi")
+
+
 def src_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in an explicit order (files have none in Spark)."""
     return df.orderBy(*order_by).limit(n)
