@@ -27,11 +27,19 @@ from sensorspark.llm.common import small_batches, via_table
 DIRECTIONS = 8
 #: The test's level: a true neighbour is passed over with the chance 1 - LEVEL at most.
 LEVEL = 0.96
-#: Points of a cell, about, and the most cells; beyond, cells grow.
-CELL_ROWS, MOST_CELLS = 1024, 4096
-#: Rows of the sample that places the cells' borders: a bound, whatever the input.
-SAMPLE_ROWS = 8192
+#: Points of a cell, about, while the sample can tell so many cells apart.
+CELL_ROWS = 4096
+#: Rows of the sample that places the cells' borders, and of those that a cell's borders rest on: bounds,
+#: whatever the input.
+SAMPLE_ROWS, ROWS_A_CELL = 8192, 8
+#: Points and queries that one task holds, at most about: larger cells and more queries are cut to blocks,
+#: and every block of a cell's points meets every block of its queries.
+BLOCK_ROWS = 16_384
 LEAF = 64
+#: Queries whose distances to all leaves are held at once.
+_AT_ONCE = 512
+#: Float32 cosines may be off by so much; what is that close to the bound is computed in doubles.
+_SLACK = 1e-4
 
 
 def chi_square_quantile(level: float, freedom: int) -> float:
@@ -125,26 +133,35 @@ def search_cell(
     first = np.concatenate([[0], np.cumsum(sizes)])
     low = np.array([projected[x].min(axis=0) for x in leaves])
     high = np.array([projected[x].max(axis=0) for x in leaves])
-    away = box_distances(placed, low, high)
     norms, query_norms = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+    # Leaf by leaf in memory, so that a leaf is a slice.
+    rough = np.ascontiguousarray(vectors[order] / norms[order, None], dtype=np.float32)
+    asked = np.ascontiguousarray(queries / query_norms[:, None], dtype=np.float32)
+    there = projected[order]
     out = []
     for q in range(len(queries)):
+        if q % _AT_ONCE == 0:
+            away = box_distances(placed[q : q + _AT_ONCE], low, high)
         best, score = np.zeros(0, np.int64), np.zeros(0)
         kth = bounds[q]
-        near = np.argsort(away[q], kind="stable")
+        mine = away[q % _AT_ONCE]
+        near = np.argsort(mine, kind="stable")
         at, step = 0, 2
         while at < len(near):
             radius = quantile * max(0.0, 2 - 2 * kth) + 1e-12
             chunk = near[at : at + step]
-            chunk = chunk[away[q, chunk] <= radius]
+            chunk = chunk[mine[chunk] <= radius]
             if not len(chunk):
                 break
-            rows = order[np.concatenate([np.arange(first[c], first[c + 1]) for c in chunk])]
+            at, step = at + step, min(2 * step, 16)
+            held = np.concatenate([np.arange(first[c], first[c + 1]) for c in chunk])
             if np.isfinite(radius):
-                rows = rows[((projected[rows] - placed[q]) ** 2).sum(axis=1) <= radius]
-            at, step = at + step, min(2 * step, 8)
-            if not len(rows):
+                held = held[((there[held] - placed[q]) ** 2).sum(axis=1) <= radius]
+                # Verified roughly first: only what may be among the best is computed in doubles.
+                held = held[rough[held] @ asked[q] >= kth - _SLACK]
+            if not len(held):
                 continue
+            rows = order[held]
             best = np.concatenate([best, rows])
             score = np.concatenate([score, cosines(vectors[rows], norms[rows], queries[q], query_norms[q])])
             keep = np.lexsort((low_ids[best], -score))[:k]
@@ -161,14 +178,15 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, m: int = DIRECTIONS, level: float = LEVEL) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, m: int = DIRECTIONS, level: float = LEVEL, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` from ``vec_id, embedding``: for each row that ``is_query``
     names the k largest cosines found among all other rows, ties to the smaller id.
 
     Vectors that are null, zero or have null or non-finite components take no part, neither do null
     ids and vectors of another length than most. Rows that agree in id and vector are one row; a
     query meets no row of its own id. Equal vectors are one point with its k + 1 smallest ids, so a
-    frequent vector is indexed and searched once. Empty input gives an empty result.
+    frequent vector is indexed and searched once. Empty input gives an empty result. A task holds about
+    ``block_rows`` points and as many queries, however many there are.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -190,7 +208,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, m: int = DIRECTION
 
     n = points.count()
     project = directions(dim, m)
-    depth = max(0, math.ceil(math.log2(max(1, min(n / CELL_ROWS, MOST_CELLS)))))
+    depth = max(0, math.ceil(math.log2(max(1, min(n / CELL_ROWS, SAMPLE_ROWS / ROWS_A_CELL)))))
     chance = F.xxhash64("node", F.lit(1)) / F.lit(float(1 << 64)) + 0.5
     sample = points.where(chance < SAMPLE_ROWS / max(n, 1)).select("v").toPandas()["v"]
     unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -207,6 +225,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, m: int = DIRECTION
             yield batch.append_column("cell", pa.array(cell.astype(np.int32)))
 
     points = via_table(points.mapInArrow(dealt, "node long, ids array<long>, v array<double>, cell int"), "nearest-cells")
+    # How many blocks each cell's points take: one row a cell, and there are at most so many cells.
+    held = {r["cell"]: -(-r["count"] // block_rows) for r in points.groupBy("cell").count().collect()}
+    blocks = np.array([held.get(c, 0) for c in range(1 << depth)])
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with every other cell that its bound cannot rule out."""
@@ -238,11 +259,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, m: int = DIRECTION
     ask = points.join(asked.select("node").distinct(), "node", "left_semi")
 
     def searched(queries: DataFrame) -> DataFrame:
-        return points.groupBy("cell").cogroup(queries.groupBy("cell")).applyInPandas(find, found_schema)
+        """Every block of a cell's points with every block of the queries that reach the cell."""
+        counts = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
+        of_points = F.element_at(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("cell") + 1)
+        of_queries = F.element_at(F.array(*[F.lit(max(1, -(-counts.get(c, 0) // block_rows))) for c in range(len(blocks))]), F.col("cell") + 1)
+        place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        p = points.withColumns({"pb": place(2, of_points), "qb": every(of_queries)}) if counts else points.withColumns({"pb": F.lit(0), "qb": F.lit(0)})
+        q = queries.withColumn("qb", place(3, of_queries)).withColumn("pb", every(of_points))
+        keys = ["cell", "pb", "qb"]
+        return p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(find, found_schema)
 
     first = via_table(searched(ask.select("node", "v", "cell", F.lit(float("-inf")).alias("bound")).toDF("node", "v", "cell", "bound")), "nearest-first")
-    # The worst of k + 1 found is the bound; fewer bound nothing.
-    bounds = first.groupBy("node").agg(F.when(F.count("score") > k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+    # The worst of the best k + 1 of its own cell is a query's bound; fewer bound nothing.
+    own = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
+    bounds = first.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1)
+    bounds = bounds.groupBy("node").agg(F.when(F.count("score") > k, F.min("score")).otherwise(float("-inf")).alias("bound"))
     wide = ask.join(bounds, "node").select("node", "v", "bound", "cell").mapInArrow(around, "node long, v array<double>, bound double, cell int")
     every = first.union(searched(wide))
     order = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")

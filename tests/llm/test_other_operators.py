@@ -51,6 +51,31 @@ def test_recall_against_brute_force(spark, kind):
                 assert r["score"] == pytest.approx(scores[ids.index(r["vec_id"])], abs=1e-12)
 
 
+def test_blocks_find_what_one_task_finds(spark):
+    """Cells cut to blocks of 200 rows, and queries as well: the same neighbours, none twice."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 8))
+    rows = [(i if i % 3 else 50 * i, [float(np.float32(y)) for y in v]) for i, v in enumerate(x)]
+    key = lambda r: (r["query_id"], r["rank"], r["vec_id"], r["score"])
+    runs = [sorted(map(key, neighbours.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0, block_rows=b).collect())) for b in (10_000, 200)]
+    assert len(runs[0]) == len(runs[1]) == 5 * len({r[0] for r in runs[0]}) > 5000
+    best = [{r[:1] + r[2:3] for r in run} for run in runs]
+    assert len(best[0] & best[1]) >= 0.9 * len(best[0])
+    want = brute_nearest(rows)
+    assert sum((q, i) in best[1] for q, (ids, _) in want.items() for i in ids) >= 0.9 * 5 * len(want)
+
+
+def test_recall_on_the_given_vectors(spark):
+    from sensorspark.llm.common import table
+
+    given = table(spark, "/root/testdata/sf0.01", "embeddings")
+    want = brute_nearest([(r["vec_id"], [float(v) for v in r["embedding"]] if r["embedding"] is not None else None) for r in given.collect()])
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(given, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert sum(len(got[q] & set(ids)) for q, (ids, _) in want.items()) >= 0.9 * sum(len(ids) for ids, _ in want.values())
+
+
 def test_vectors_that_take_no_part_ties_and_copies(spark):
     one = [1.0, 0.0, 0.0]
     rows = [(i, one) for i in range(0, 120)] + [(200, [0.0, 1.0, 0.0]), (201, [0.0, 2.0, 0.0]), (202, [-0.0, 4.0, 0.0]), (250, [1.0, 1.0, 1.0])]
