@@ -273,6 +273,29 @@ def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], most_byt
     return dealt.join(repeated, [*keys, "__salt"], "left").drop("__salt")
 
 
+#: So many first rows are gathered by one task; more stay in the partitions that they are sorted in.
+GATHERED = 10_000
+
+
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an order. Beyond ``GATHERED`` rows are dealt by ranges of the order and
+    stored; whole ranges are taken until ``n`` is reached, and of the next one its first rows. The
+    result is the same either way, as far as the order settles it."""
+    if n <= GATHERED:
+        return df.orderBy(*order).limit(n)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = via_table(dealt.withColumns({"__part": F.spark_partition_id(), "__pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "first-rows")
+    # One row a partition.
+    sizes = sorted((r["__part"], r["count"]) for r in placed.groupBy("__part").count().collect())
+    taken, edge, rest = 0, -1, 0
+    for part, size in sizes:
+        edge, rest = part, min(size, n - taken)
+        taken += rest
+        if taken == n:
+            break
+    return placed.where((F.col("__part") < edge) | ((F.col("__part") == edge) & (F.col("__pos") < rest))).drop("__part", "__pos")
+
+
 def top_k_per_group(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, salts: int = 64
 ) -> DataFrame:

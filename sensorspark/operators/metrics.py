@@ -178,12 +178,22 @@ def mon_success_rate(runs: DataFrame, by: Sequence[str] = ("pipeline_id",)) -> D
     )
 
 
-def mon_up(scrapes: DataFrame, now: Column | datetime | str, every: str = "1 minute") -> DataFrame:
+def mon_up(scrapes: DataFrame, now: Column | datetime | str, every: str = "1 minute", lookback: str | None = None) -> DataFrame:
     """Liveness as samples ``metric, instance, ts, value``: for each stretch of ``every`` from an
-    instance's first scrape to now 1 if it was scraped, else 0, at the stretch's end."""
+    instance's first scrape to now 1 if it was scraped, else 0, at the stretch's end. ``lookback``
+    gives the newest stretches only: what a rule that looks back 2 minutes needs of a year's scrapes is
+    read by time and is as many samples as stretches; instances that were not scraped since are found
+    by their older scrapes."""
     start = F.window("ts", every).getField("start")
-    seen = scrapes.where(F.col("ts") < ts_of(now)).select("instance", start.alias("__start")).distinct()
-    first = seen.groupBy("instance").agg(F.min("__start").alias("__first"))
+    past = scrapes.where(F.col("ts") < ts_of(now))
+    if lookback is None:
+        seen = past.select("instance", start.alias("__start")).distinct()
+        first = seen.groupBy("instance").agg(F.min("__start").alias("__first"))
+    else:
+        from_ = ts_of(now) - interval_of(lookback)
+        seen = past.where(F.col("ts") >= from_).select("instance", start.alias("__start")).distinct()
+        began = past.groupBy("instance").agg(F.min("ts").alias("ts"))
+        first = began.select("instance", F.greatest(start, F.window(F.greatest(F.col("ts"), from_), every).getField("start")).alias("__first"))
     ends = F.sequence("__first", ts_of(now) - interval_of(every), interval_of(every))
     grid = first.select("instance", F.explode(ends).alias("__start"))
     value = F.when(F.col("up").isNotNull(), 1.0).otherwise(0.0)
@@ -206,12 +216,14 @@ def mon_rule_samples(
     parts = []
     if gauges is not None:
         parts.append(gauges.select(*cols))
-        drift, r2 = (gauges.where(F.col("metric") == m) for m in ("drift_share", "model_r2_champion_current"))
-        high = F.col("value") > 0.5
-        both = mon_and_match(drift, r2, ["instance", "ts"], high, F.col("value") < 0.70)
-        fine = drift.join(both.select("instance", "ts").distinct(), ["instance", "ts"], "left_anti").withColumn("value", F.lit(0.0))
-        low = drift.join(both.select("instance", "ts").distinct(), ["instance", "ts"], "left_semi").where(~high).withColumn("value", F.lit(0.0))
-        parts += [x.withColumn("metric", F.lit("drift_and_declining_r2")).select(*cols) for x in (both, fine, low)]
+        # One pass: what an instance reports at one time meets in one group.
+        value, drift = F.col("value").cast("double"), F.col("metric") == "drift_share"
+        met = gauges.where(drift | (F.col("metric") == "model_r2_champion_current")).groupBy("instance", "ts").agg(
+            F.collect_list(F.when(drift, value)).alias("shares"), F.coalesce(F.max(~drift & (value < 0.70)), F.lit(False)).alias("declines")
+        )
+        shares = met.select("instance", "ts", "declines", F.explode("shares").alias("share"))
+        declining = F.when(F.col("declines") & (F.col("share") > 0.5), F.col("share")).otherwise(0.0)
+        parts.append(shares.select(F.lit("drift_and_declining_r2").alias("metric"), "instance", "ts", declining.alias("value")).select(*cols))
     if requests is not None:
         ratio = mon_error_ratio(requests, "5 minutes").select(
             F.lit("api_error_ratio").alias("metric"), F.lit("api").alias("instance"),

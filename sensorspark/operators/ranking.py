@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import micros
-from sensorspark.functions.ordering import quantiles, salted_join, top_k_per_group
+from sensorspark.functions.ordering import first_rows, quantiles, salted_join, top_k_per_group
 from sensorspark.schema import ROLES, Roles
 
 
@@ -73,7 +73,7 @@ def win_top_with_membership(a: DataFrame, b: DataFrame, k: int = 10, roles: Role
 def win_last_n_sorted(df: DataFrame, n: int = 500, key: Sequence[str] = ("sensor_id",),
                       roles: Roles = ROLES) -> DataFrame:
     """The newest ``n`` rows; the key breaks ties."""
-    return df.orderBy(F.desc(roles.ts), *key).limit(n)
+    return first_rows(df, [F.desc(roles.ts), *[F.col(k) for k in key]], n)
 
 
 def win_per_day_limit(df: DataFrame, k: int, day_col: str = "reading_date",

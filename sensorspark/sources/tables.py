@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.columns import since, ts_of
-from sensorspark.functions.ordering import top_k_per_group
+from sensorspark.functions.ordering import first_rows, top_k_per_group
 from sensorspark.schema import ROLES, Roles
 
 
@@ -70,4 +70,4 @@ def src_days(df: DataFrame, days: DataFrame, part: str = "reading_date") -> Data
 
 def src_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in an explicit order (files have none in Spark)."""
-    return df.orderBy(*order_by).limit(n)
+    return first_rows(df, [F.col(c) for c in order_by], n)
