@@ -6,6 +6,7 @@ import re
 
 import pytest
 from catalog import CATALOG
+from sensorspark.functions import ordering
 
 SF = "/root/testdata/sf0.001"
 QUERIES = {name: q.run for name, q in CATALOG.items()}
@@ -30,9 +31,12 @@ def test_no_pairwise_join_and_no_python_on_rows(spark, name):
 @pytest.mark.parametrize(
     "name", ["agg_describe", "agg_outliers_iqr_by_source", "stat_ks_2samp", "win_group_threshold_median"]
 )
-def test_ordered_scans_read_the_counts_once(spark, name):
-    """Both uses of the distinct counts share one exchange."""
+def test_ordered_scans_read_the_counts_once(spark, name, monkeypatch):
+    """Both uses of the distinct counts share one exchange, also where the result is stored for a join."""
+    stored, via_table = [], ordering.via_table
+    monkeypatch.setattr(ordering, "via_table", lambda df, label: (stored.append(df), via_table(df, label))[1])
     df = QUERIES[name](spark, SF)
+    df = stored[0] if stored else df
     df.collect()
     assert "ReusedExchange" in plan_of(df)
 
