@@ -24,8 +24,11 @@ from sensorspark.llm.common import (
 
 SHINGLE = 5
 TOKENS = 128
-#: A node of at most so many sets is compared by brute force; also the side of a block.
+#: A node of at most so many sets is compared by brute force; also the rows that are compared at once.
 LIMIT = 256
+#: A larger group is dealt to so many blocks, each row to a meeting with each of them, until a block
+#: has ``MOST`` rows or its sets ``MOST_BYTES``; from there on blocks follow the group's size.
+BLOCKS, MOST, MOST_BYTES = 16, 8192, 16 << 20
 DEPTH = 3
 #: Chance that a pair at the threshold is missed by the token estimate.
 SKETCH_LOSS = 1e-5
@@ -75,8 +78,8 @@ def set_numbers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_id, text_key, text`` -> ``doc_id, row_id, text_key, node, tokens``: the number of every row's
-    shingle set and its tokens."""
+    """``doc_id, row_id, text_key, text`` -> ``doc_id, row_id, text_key, node, n_shingles, tokens``: the number of
+    every row's shingle set, its size and its tokens."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,11 +87,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 rows = batch.slice(a, b - a)
                 sets = shingle_sets(*word_hashes(rows.column(3)), SHINGLE)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[:3], pa.array(set_numbers(sets)), pa.array([t.tobytes() for t in _tokens(sets)], pa.binary())],
-                    ["doc_id", "row_id", "text_key", "node", "tokens"],
+                    [
+                        *rows.columns[:3], pa.array(set_numbers(sets)), pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array([t.tobytes() for t in _tokens(sets)], pa.binary()),
+                    ],
+                    ["doc_id", "row_id", "text_key", "node", "n_shingles", "tokens"],
                 )
 
-    return docs.select("doc_id", "row_id", "text_key", "text").mapInArrow(signed, "doc_id long, row_id long, text_key long, node long, tokens binary")
+    return docs.select("doc_id", "row_id", "text_key", "text").mapInArrow(
+        signed, "doc_id long, row_id long, text_key long, node long, n_shingles long, tokens binary"
+    )
 
 
 def _low_bytes(tokens: Column) -> Column:
@@ -129,27 +137,61 @@ def _descend(rows: DataFrame, threshold: float, runs: int) -> DataFrame:
     return rows.select("node", "path", "tokens").mapInArrow(down, "node long, path long")
 
 
-def _joined(group: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the pairs ``a, b`` connect inside their groups, a tree of each
-    component. Where a group is a meeting of two blocks (``side`` 0 and 1), what each block connects
-    is left to the block's own meeting; only edges that join such parts are made."""
-    n = len(group)
-    two = np.zeros(n, dtype=bool)
-    if n:
-        two = (np.bincount(group, side, minlength=group[-1] + 1) > 0)[group]
-    inside = two[a] & (side[a] == side[b])
-    part = labels_of(n, a[inside], b[inside])
-    whole = labels_of(n, a, b)
-    tops = np.flatnonzero((part == np.arange(n)) & (whole != np.arange(n)))
-    return tops, whole[tops]
-
-
-def block_pairs(rows: DataFrame, group: str, sizes: DataFrame, side: int = LIMIT) -> DataFrame:
-    """Adds ``left``, ``right`` and ``own``: rows of a group are dealt to blocks of about ``side``
-    by a hash of their node, and every row goes to its block's meetings with all blocks of the group,
-    its own included. A group of one block meets once. ``sizes``: ``group, n``, one row a group."""
-    blocks = F.ceil(F.col("n") / F.lit(side)).cast("int")
-    placed = rows.join(sizes.select(group, blocks.alias("__blocks")), group)
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of ``block_pairs``: whether a row is of its meeting's second block, and whether two blocks
+    meet. A block may be empty, so the rows' own blocks alone don't tell."""
+    left, right, own = (rows.column(name).to_numpy() for name in ("left", "right", "own"))
+    return own != left, left != right
+
+
+class _Parts:
+    """Connected parts of the rows of some groups (numbered 0, 1, ...), as links come in.
+
+    Where a group is a meeting of two blocks (``two``; ``side`` tells them apart), what each block
+    connects is left to the block's own meeting: ``part`` is what the links inside blocks connect,
+    ``whole`` what all do, and only edges that join parts are given."""
+
+    def __init__(self, side: np.ndarray, two: np.ndarray):
+        self.side, self.two = side, two
+        self.part, self.whole = np.arange(len(side)), np.arange(len(side))
+
+    def _inside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.two[a] & (self.side[a] == self.side[b])
+
+    def open(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows would still connect something."""
+        return np.where(self._inside(a, b), self.part[a] != self.part[b], self.whole[a] != self.whole[b])
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        inside = self._inside(a, b)
+        self.part, self.whole = _merged(self.part, a[inside], b[inside]), _merged(self.whole, a, b)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """A tree of each connected part, without what the blocks' own meetings give."""
+        place = np.arange(len(self.part))
+        tops = np.flatnonzero((self.part == place) & (self.whole != place))
+        return tops, self.whole[tops]
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x, y = label[a], label[b]
+    new = x != y
+    return labels_of(len(label), x[new], y[new])[label] if new.any() else label
+
+
+def block_count(n: Column, n_bytes: Column | None = None) -> Column:
+    """Blocks of a group of ``n`` rows: up to ``BLOCKS`` of ``LIMIT`` rows; in larger groups the blocks
+    grow, and so a row meets no more of them, up to the rows and bytes that a task may hold."""
+    few = F.least(F.ceil(n / F.lit(LIMIT)), F.lit(BLOCKS))
+    size = F.ceil(n / F.lit(MOST)) if n_bytes is None else F.greatest(F.ceil(n / F.lit(MOST)), F.least(n, F.ceil(n_bytes / F.lit(MOST_BYTES))))
+    return F.greatest(few, size, F.lit(1)).cast("int")
+
+
+def block_pairs(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """Adds ``left``, ``right`` and ``own``: rows of a group are dealt to its blocks by a hash of their
+    node, and every row goes to its block's meetings with all blocks of the group, its own included.
+    A group of one block meets once. ``sizes``: ``group, blocks``, one row a group."""
+    placed = rows.join(sizes.select(group, F.col("blocks").alias("__blocks")), group)
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__blocks")).cast("int"))
     placed = placed.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return placed.withColumns({"left": F.least("own", "__with"), "right": F.greatest("own", "__with")}).drop("__blocks", "__with")
@@ -168,27 +210,28 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFra
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 3):
             group, node = group_numbers(rows, 3), rows.column("node").to_numpy()
-            side = (rows.column("own").to_numpy() != rows.column("left").to_numpy()).astype(np.int8)
+            side, two = _sides(rows)
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
-            first, second = [], []
+            parts = _Parts(side, two)
             for step in range(1, len(node)):
                 i = np.flatnonzero(group[step:] == group[:-step])
                 if not len(i):
                     break
+                # What is connected already needs no comparison.
+                i = i[parts.open(i, i + step)]
                 for k in range(0, len(i), 65536):
                     j = i[k : k + 65536]
-                    close = (sketch[j] == sketch[j + step]).sum(axis=1) >= least
-                    first.append(j[close])
-                    second.append(j[close] + step)
-            none = [np.zeros(0, dtype=np.int64)]
-            a, b = _joined(group, side, np.concatenate(first or none), np.concatenate(second or none))
+                    close = j[(sketch[j] == sketch[j + step]).sum(axis=1) >= least]
+                    if len(close):
+                        parts.link(close, close + step)
+            a, b = parts.edges()
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     for depth in range(1, DEPTH + 1):
         paths = via_table(_descend(level, threshold, runs), "jaccard-paths")
         sizes = via_table(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-nodes")
         small = sizes if depth == DEPTH else sizes.where(F.col("n") <= LIMIT)
-        met = block_pairs(paths, "path", small).join(sketches, "node")
+        met = block_pairs(paths, "path", small.withColumn("blocks", block_count(F.col("n")))).join(sketches, "node")
         met = met.select("path", "left", "right", "own", "node", "sketch").repartition(n, "path", "left", "right")
         found = met.sortWithinPartitions("path", "left", "right", "own", "node").mapInArrow(compare, "a long, b long")
         edges = found if edges is None else edges.union(found)
@@ -200,11 +243,12 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFra
 
 
 def verified(clusters: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Exact comparison inside clusters. ``clusters``: ``node, row_id, root, n_copies``, ``docs``:
+    """Exact comparison inside clusters. ``clusters``: ``node, row_id, root, n_copies, n_shingles``, ``docs``:
     ``row_id, text``. Gives rows ``node, links, null`` (partners met in one pair of blocks, each with
     its copies) and ``node, 0, other``: edges that connect what is linked."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = via_table(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "jaccard-sizes")
+    blocks = block_count(F.count(F.lit(1)), F.sum("n_shingles") * 8)
+    sizes = via_table(clusters.groupBy("root").agg(blocks.alias("blocks")), "jaccard-sizes")
     # Members are a share of all documents: their list is not to be broadcast at some size.
     texts = docs.join(clusters.hint("merge"), "row_id").select("node", "root", "n_copies", "text")
 
@@ -233,37 +277,71 @@ def verified(clusters: DataFrame, docs: DataFrame, threshold: float) -> DataFram
 
 
 def _verify(rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """One meeting: ``LIMIT`` rows are compared with ``LIMIT`` rows at once, in products of 0/1 matrices
+    over the shingles that both have."""
     node = rows.column("node").to_numpy()
     once = np.concatenate([[True], node[1:] != node[:-1]])  # repeated rows
     rows, node = rows.filter(pa.array(once)), node[once]
-    side = (rows.column("own").to_numpy() != rows.column("left").to_numpy()).astype(np.int8)
+    side, meeting = _sides(rows)
     copies = rows.column("n_copies").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     n, size = len(node), np.array([len(s) for s in sets])
-    # Shingles of two sets or more by number; those of one set only count in its size.
-    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[number] > 1
-    owner, number = np.repeat(np.arange(n), size)[shared], (np.cumsum(count > 1) - 1)[number[shared]]
-    common, total = np.zeros((n, n), dtype=np.float64), int((count > 1).sum())
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    for at in range(0, total, 4096):
-        a, b = np.searchsorted(number, [at, at + 4096])
-        held = np.zeros((n, min(4096, total - at)), dtype=np.float32)
-        held[owner[a:b], number[a:b] - at] = 1
-        common += held @ held.T
-    linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
-    np.fill_diagonal(linked, False)
-    a, b = np.nonzero(np.triu(linked))
-    x, y = _joined(np.zeros(n, dtype=np.int64), side, a, b)
-    if side.any():  # pairs inside a block are counted by the block's own meeting
-        linked &= side[:, None] != side[None, :]
-    links = linked.astype(np.int64) @ copies
+    # Rows come by side, so a strip that ends where the side changes is of one block.
+    cuts = np.unique(np.concatenate([np.arange(0, n, LIMIT), np.flatnonzero(side[1:] != side[:-1]) + 1, [n]]))
+    strips = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        values, number, count = np.unique(np.concatenate(sets[a:b]), return_inverse=True, return_counts=True)
+        strips.append((int(a), int(b), values, number, count, np.repeat(np.arange(b - a), size[a:b])))
+    parts, links = _Parts(side, meeting), np.zeros(n, dtype=np.int64)
+    two = bool(meeting.any())
+    for i, first in enumerate(strips):
+        for second in strips[i:]:
+            (a, b), (c, d) = first[:2], second[:2]
+            # Pairs inside a block are counted by the block's own meeting; here they only connect.
+            counted = not two or side[a] != side[c]
+            if not counted and (parts.part[a:b] == parts.part[a]).all() and (parts.part[c:d] == parts.part[a]).all():
+                continue
+            common = _common(first, second)
+            linked = common >= threshold * (size[a:b, None] + size[None, c:d] - common) - 1e-9
+            if a == c:
+                np.fill_diagonal(linked, False)
+            if counted:
+                links[a:b] += linked @ copies[c:d]
+                if a != c:
+                    links[c:d] += linked.T @ copies[a:b]
+            x, y = np.nonzero(linked)
+            new = parts.open(x + a, y + c)
+            parts.link(x[new] + a, y[new] + c)
+    x, y = parts.edges()
     some = np.flatnonzero(links)
     yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some], pa.int64()), pa.nulls(len(some), pa.int64())], ["node", "links", "other"])
     yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(np.zeros(len(x), np.int64)), pa.array(node[y])], ["node", "links", "other"])
 
 
+def _common(first: tuple, second: tuple) -> np.ndarray:
+    """Numbers of shingles that rows of two strips share; its diagonal is of no use where they are one."""
+    a, b, values, number, count, owner = first
+    c, d, others, other_number, _, other_owner = second
+    if a == c:  # a shingle of one row is shared with no other
+        mine = theirs = np.flatnonzero(count > 1)
+    else:
+        _, mine, theirs = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+    out = np.zeros((b - a, d - c))
+    for at in range(0, len(mine), 4096):
+        held = []
+        for rows, n, sought, all_numbers, owners in ((b - a, len(values), mine, number, owner), (d - c, len(others), theirs, other_number, other_owner)):
+            column = np.full(n, -1)
+            part = sought[at : at + 4096]
+            column[part] = np.arange(len(part))
+            column = column[all_numbers]
+            has = column >= 0
+            matrix = np.zeros((rows, len(part)), dtype=np.float32)
+            matrix[owners[has], column[has]] = 1
+            held.append(matrix)
+        out += held[0] @ held[1].T
+    return out
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, text_key: bool = False) -> DataFrame:
     """``doc_id, class_id, set_id, n_copies, n_links``: one row for every row of ``docs``; with
     ``text_key`` also the text's hash under that name, and ``class_number``, null without partners.
@@ -283,13 +361,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     docs = docs.withColumn("row_id", F.coalesce("doc_id", "text_key"))
     signed = via_table(signatures(docs), "jaccard-rows")
-    copies = signed.where("node != 0").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_copies"))
+    copies = signed.where("node != 0").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_copies"), F.max("n_shingles").alias("n_shingles"))
     copies = via_table(copies, "jaccard-copies")
     # The row of the set's smallest id carries its tokens.
     sets = signed.select("row_id", "node", "tokens").join(copies.select("row_id", "node"), ["row_id", "node"])
     sets = via_table(sets.select("node", "tokens").dropDuplicates(["node"]), "jaccard-sets")
     clusters = components(candidate_edges(sets, threshold, recall), "jaccard-clusters")
-    clusters = via_table(clusters.join(copies.select("node", "row_id", "n_copies"), "node"), "jaccard-members")
+    clusters = via_table(clusters.join(copies.select("node", "row_id", "n_copies", "n_shingles"), "node"), "jaccard-members")
     found = verified(clusters, docs.select("row_id", "text"), threshold)
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "jaccard-classes")

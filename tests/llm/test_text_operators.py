@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorspark.llm import decontaminate, jaccard, lines, mixing, quality, sharding
-from sensorspark.llm.common import components, shingle_sets, word_hashes
+from sensorspark.llm.common import components, labels_of, shingle_sets, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, size string, shard string"
 
@@ -149,6 +149,44 @@ def test_join_splits_large_groups(spark, monkeypatch):
     assert got == {i: len(near[i]) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("blocks, most, most_bytes", [(16, 8192, 16 << 20), (3, 40, 1 << 40), (1, 8192, 30_000), (1, 8192, 2_000), (1, 1 << 20, 1 << 40)])
+def test_blocks_of_any_size_count_the_same(spark, monkeypatch, blocks, most, most_bytes):
+    """Many small blocks, few large ones, blocks by bytes (some of them empty) and one block, each compared
+    by strips."""
+    for name, value in {"LIMIT": 16, "BLOCKS": blocks, "MOST": most, "MOST_BYTES": most_bytes}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(8)
+    texts = near_copies(rng, 180) + near_copies(rng, 70) + [words(rng, 60) for _ in range(30)]
+    texts += texts[:15] + [" ".join(["same"] * 9)] * 3
+    near = brute_links(texts)
+    docs = documents(spark, texts)
+    if most < 100:
+        got = docs.limit(1).select(jaccard.block_count(F.lit(1000))).first()[0], docs.limit(1).select(jaccard.block_count(F.lit(90))).first()[0]
+        assert got == (25, 3)
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.jaccard_join(docs).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: len(near[i]) for i in range(len(texts))}
+    assert all(got[i][1] == got[j][1] for i in near for j in near[i])
+    assert all(got[i][1] == i for i in range(len(texts)) if not near[i])
+
+
+def test_parts_connect_what_the_links_connect():
+    """Edges of a meeting and of its two blocks' own meetings connect what all links do."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        side, two = np.sort(rng.integers(0, 2, n)).astype(bool), bool(rng.integers(0, 2))
+        side &= two
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, n))))
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        meeting = jaccard._Parts(side, np.full(n, two))
+        meeting.link(a, b)
+        assert not meeting.open(a, b).any()
+        inside = (side[a] == side[b]) & two
+        x, y = meeting.edges()
+        got = labels_of(n, np.concatenate([x, a[inside]]), np.concatenate([y, b[inside]]))
+        assert (got == labels_of(n, a, b)).all()
+
+
 def test_join_null_and_repeated_ids(spark):
     texts = ["a b c d e f g"] * 3 + ["x y z"] * 2 + ["q r s t u v"]
     docs = documents(spark, texts, ids=[5, None, 5, None, None, 5])
