@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import html as html_lib
 import json
+import math
 import re
-from bisect import bisect_left
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -260,89 +261,187 @@ def _children(nodes: list) -> list[list[int]]:
     return out
 
 
-#: Two lists of siblings meet pair by pair up to so many pairs, and all lists of two trees up to so many;
-#: beyond, siblings meet in order (``_in_order``).
-CELLS, PAIRS = 1024, 40_000
-
-
-def _in_order(m: list[int], n: list[int], a: list, b: list) -> list[tuple[int, int]]:
-    """For long lists: the i-th sibling of a label meets the i-th of that label, and of those pairs the
-    longest run stays that keeps the order on both sides."""
-    place: dict[str, list[int]] = {}
-    for j, y in enumerate(n):
-        place.setdefault(b[y][1], []).append(j)
-    taken: dict[str, int] = {}
-    pairs = []
-    for i, x in enumerate(m):
-        k = taken.get(a[x][1], 0)
-        if k < len(place.get(a[x][1], ())):
-            pairs.append((i, place[a[x][1]][k]))
-            taken[a[x][1]] = k + 1
-    # Longest increasing subsequence of the second places.
-    tails, ends, before = [], [], []
-    for k, (_, j) in enumerate(pairs):
-        at = bisect_left(tails, j)
-        before.append(ends[at - 1] if at else -1)
-        if at == len(tails):
-            tails.append(j)
-            ends.append(k)
-        else:
-            tails[at], ends[at] = j, k
-    out, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        out.append((m[pairs[k][0]], n[pairs[k][1]]))
-        k = before[k]
-    return out
+#: What matching holds in memory at once; its results don't depend on either. Of lists of siblings with more
+#: pairs than ``CELLS`` only some rows of their table are kept, and the others computed again where the way
+#: back needs them; scores of more than ``PAIRS`` pairs of subtrees lie in a temporary file.
+CELLS, PAIRS = 1 << 22, 1 << 22
+
+
+class TreePair:
+    """Two trees and the scores of their subtrees, the sizes of their largest matchings.
+
+    Only nodes whose labels agree all the way from the root can meet. So scores are tables of a path
+    of labels, of the different shapes of ``a``'s subtrees at that path against those of ``b``'s, and a row
+    of best sums runs over all of ``b``'s siblings at a path at once: their lists follow each other, each
+    after a column of its own whose value no earlier list reaches."""
+
+    def __init__(self, a: list, b: list, cells: int, pairs: int):
+        self.cells, self.pairs = cells, pairs
+        self.below_a, self.below_b = _children(a), _children(b)
+        self.tables: dict[int, np.ndarray] = {}
+        self.best = np.empty(0, np.int64)
+        shapes: dict[tuple, int] = {}
+        self.shape_a, self.size_a = self._shapes(a, self.below_a, shapes)
+        self.shape_b, self.size_b = self._shapes(b, self.below_b, shapes)
+        if self.shape_a[0] != self.shape_b[0]:
+            paths: dict[tuple, int] = {}
+            # Of each path the shapes' places and first nodes.
+            self.path_a, self.place_a, self.first_a = self._paths(a, self.shape_a, paths)
+            self.path_b, self.place_b, self.first_b = self._paths(b, self.shape_b, paths)
+            self.inner: list[list[int]] = [[] for _ in paths]
+            for (outer, _), p in paths.items():
+                if outer >= 0 and p in self.first_a and p in self.first_b:
+                    self.inner[outer].append(p)
+
+    @staticmethod
+    def _shapes(nodes: list, below: list[list[int]], shapes: dict[tuple, int]) -> tuple[list[int], list[int]]:
+        """Of each node a number that is the same for subtrees of equal labels, and its subtree's nodes."""
+        shape, size = [0] * len(nodes), [1] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):
+            shape[i] = shapes.setdefault((nodes[i][1], tuple([shape[k] for k in below[i]])), len(shapes))
+            if i:
+                size[nodes[i][0]] += size[i]
+        return shape, size
+
+    @staticmethod
+    def _paths(nodes: list, shape: list[int], paths: dict[tuple, int]) -> tuple[list[int], list[int], dict[int, list[int]]]:
+        path, place = [0] * len(nodes), [0] * len(nodes)
+        first: dict[int, list[int]] = {}
+        places: dict[tuple[int, int], int] = {}
+        for i, node in enumerate(nodes):
+            # Roots meet whatever their labels.
+            key = (path[node[0]], node[1]) if i else (-1, "")
+            path[i] = paths.setdefault(key, len(paths))
+            held = first.setdefault(path[i], [])
+            place[i] = places.setdefault((path[i], shape[i]), len(held))
+            if place[i] == len(held):
+                held.append(i)
+        return path, place, first
+
+    def _columns(self, siblings: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Of each path the columns of ``b``'s nodes in a row (-1: a list's own column) and the places of their shapes."""
+        found: dict[int, tuple[list[int], list[int]]] = {}
+        for column, y in enumerate(siblings):
+            if y >= 0:
+                columns, places = found.setdefault(self.path_b[y], ([], []))
+                columns.append(column)
+                places.append(self.place_b[y])
+        return {p: (np.array(columns), np.array(places)) for p, (columns, places) in found.items()}
+
+    def _step(self, row: np.ndarray, columns: dict, known: dict, x: int) -> None:
+        """Makes a row of best sums the next one, by ``x``; ``known`` holds scores of ``a``'s shapes along whole rows."""
+        key = p, place = self.path_a[x], self.place_a[x]
+        if p in columns:
+            scores = known.get(key)
+            if scores is None:
+                if len(known) * len(row) > CELLS:
+                    known.clear()
+                scores = known[key] = np.zeros(len(row), np.int64)
+                at, places = columns[p]
+                inside = slice(0, np.searchsorted(at, len(row)))
+                scores[at[inside]] = self.tables[p][place][places[inside]]
+            if len(self.best) < len(row):
+                self.best = np.empty(len(row), np.int64)
+            best = self.best[1 : len(row)]
+            np.add(row[:-1], scores[1 : len(row)], out=best)
+            np.maximum(best, row[1:], out=best)
+            np.maximum.accumulate(best, out=row[1:])
+
+    def _score(self, outer: int) -> None:
+        """Fills the tables of the paths below ``outer``, the deepest first."""
+        order, todo = [], [p for p in self.inner[outer] if p not in self.tables]
+        while todo:
+            order.append(todo.pop())
+            todo += [p for p in self.inner[order[-1]] if p not in self.tables]
+        for p in reversed(order):
+            if not self.inner[p]:
+                self.tables[p] = np.broadcast_to(np.uint8(1), (len(self.first_a[p]), len(self.first_b[p])))
+                continue
+            xs, ys = self.first_a[p], self.first_b[p]
+            most = min(max(self.size_a[x] for x in xs), max(self.size_b[y] for y in ys))
+            kind = np.min_scalar_type(most)
+            if len(xs) * len(ys) > self.pairs:
+                with tempfile.TemporaryFile() as file:
+                    table = np.memmap(file, kind, "w+", shape=(len(xs), len(ys)))
+            else:
+                table = np.empty((len(xs), len(ys)), kind)
+            siblings = [z for y in ys for z in (-1, *self.below_b[y])]
+            columns = self._columns(siblings)
+            widths = [len(self.below_b[y]) + 1 for y in ys]
+            own = np.arange(len(ys), dtype=np.int64) * (most + 1)
+            empty, last = np.repeat(own, widths), np.cumsum(widths) - 1
+            known: dict[tuple[int, int], np.ndarray] = {}
+            for i, x in enumerate(xs):
+                row = empty.copy()
+                for k in self.below_a[x]:
+                    self._step(row, columns, known, k)
+                table[i] = row[last] - own + 1
+            self.tables[p] = table
+
+    def siblings(self, x: int, y: int) -> list[tuple[int, int]]:
+        """The pairs of children in the largest matching below a pair of nodes; of equally large ones
+        that with the latest children."""
+        m, n = self.below_a[x], self.below_b[y]
+        if self.shape_a[x] == self.shape_b[y]:
+            return list(zip(m, n, strict=True))
+        # A pair of one shape at the end is never worse than another.
+        same = 0
+        while same < min(len(m), len(n)) and self.shape_a[m[-1 - same]] == self.shape_b[n[-1 - same]]:
+            same += 1
+        kept = list(zip(m[len(m) - same :], n[len(n) - same :], strict=True))
+        m, n = m[: len(m) - same], n[: len(n) - same]
+        either = {self.path_a[i] for i in m} & {self.path_b[j] for j in n}
+        left, right = [i for i in m if self.path_a[i] in either], [j for j in n if self.path_b[j] in either]
+        # Where every label has one node on both sides, in one order, all meet.
+        if len(left) == len(right) == len(either) and all(self.path_a[i] == self.path_b[j] for i, j in zip(left, right, strict=True)):
+            return kept + list(zip(left, right, strict=True))
+        self._score(self.path_a[x])
+        return kept + self._longest(m, n)
+
+    def _longest(self, m: list[int], n: list[int]) -> list[tuple[int, int]]:
+        """The pairs of the best sum of scores that keep the order of two lists of siblings."""
+        columns, known = self._columns([-1, *n]), {}
+        # Every ``step``-th row is kept; the way back computes the rows from one to the next again.
+        step = len(m) if len(m) * len(n) <= self.cells else math.isqrt(len(m)) + 1
+        row, marks = np.zeros(len(n) + 1, np.int64), []
+        for i, x in enumerate(m[: (len(m) - 1) // step * step + 1]):
+            if i % step == 0:
+                marks.append(row.copy())
+            self._step(row, columns, known, x)
+        block = np.empty((step + 1, len(n) + 1), np.int64)
+        i, j, kept = len(m), len(n), []
+        while i and j:
+            begin = (i - 1) // step * step
+            del marks[begin // step + 1 :]
+            rows = block[: i - begin + 1, : j + 1]
+            rows[0] = marks.pop()[: j + 1]
+            for k, x in enumerate(m[begin:i]):
+                rows[k + 1] = rows[k]
+                self._step(rows[k + 1], columns, known, x)
+            while i > begin and j:
+                x, y, here, above = m[i - 1], n[j - 1], rows[i - begin], rows[i - begin - 1]
+                p = self.path_a[x]
+                s = int(self.tables[p][self.place_a[x], self.place_b[y]]) if p == self.path_b[y] else 0
+                if s and here[j] == above[j - 1] + s:
+                    kept.append((x, y))
+                    i, j = i - 1, j - 1
+                elif here[j] == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return kept
 
 
 def match_trees(a: list, b: list, cells: int = CELLS, pairs: int = PAIRS) -> dict[int, int]:
     """Simple tree matching: the largest set of pairs of equal labels that keeps parents and the order
-    of siblings. ``a``'s node numbers to ``b``'s. Lists of more than ``cells`` pairs, and whatever lies
-    deeper once ``pairs`` are reached, are aligned in order, so time and memory follow the nodes."""
-    below_a, below_b = _children(a), _children(b)
-    score: dict[tuple[int, int], int] = {}
-    back: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    # Children come after their parents, so pairs are settled from the end; only equal labels meet.
-    order, seen, aligned = [(0, 0)], {(0, 0)}, {}
-    for x, y in order:
-        m, n = below_a[x], below_b[y]
-        if len(m) * len(n) > cells or len(order) > pairs:
-            met = aligned[x, y] = _in_order(m, n, a, b)
-        else:
-            met = [(i, j) for i in m for j in n if a[i][1] == b[j][1]]
-        for pair in met:
-            if pair not in seen:
-                seen.add(pair)
-                order.append(pair)
-    for x, y in reversed(order):
-        if (x, y) in aligned:
-            kept = aligned[x, y]
-            score[x, y], back[x, y] = sum(score[p] for p in kept) + 1, kept
-            continue
-        m, n = below_a[x], below_b[y]
-        table = [[0] * (len(n) + 1) for _ in range(len(m) + 1)]
-        for i in range(1, len(m) + 1):
-            above, row = table[i - 1], table[i]
-            for j in range(1, len(n) + 1):
-                best = above[j] if above[j] >= row[j - 1] else row[j - 1]
-                s = score.get((m[i - 1], n[j - 1]), 0)
-                row[j] = above[j - 1] + s if s and above[j - 1] + s >= best else best
-        i, j, kept = len(m), len(n), []
-        while i and j:
-            s = score.get((m[i - 1], n[j - 1]), 0)
-            if s and table[i][j] == table[i - 1][j - 1] + s:
-                kept.append((m[i - 1], n[j - 1]))
-                i, j = i - 1, j - 1
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        score[x, y], back[x, y] = table[-1][-1] + 1, kept
+    of siblings. ``a``'s node numbers to ``b``'s. ``cells`` and ``pairs`` bound the memory, not the
+    matching; time is at most that of all pairs of nodes that labels let meet, in rows of numpy."""
+    trees = TreePair(a, b, cells, pairs)
     out, todo = {}, [(0, 0)]
     while todo:
         x, y = todo.pop()
         out[x] = y
-        todo += back[x, y]
+        todo += trees.siblings(x, y)
     return out
 
 

@@ -128,6 +128,49 @@ def test_matching_equals_its_recursion(seed):
     assert html_extract.match_trees(a, a, cells=0) == {i: i for i in range(len(a))}
 
 
+def wide_tree(rng, n, kinds="ab"):
+    """``n`` siblings of one or two labels, each with a few nodes below."""
+    tree = [[-1, "r"]]
+    for _ in range(n):
+        tree.append([0, rng.choice("xxxy")])
+        top = len(tree) - 1
+        for _ in range(rng.randrange(4)):
+            tree.append([rng.randrange(top, len(tree)), rng.choice(kinds)])
+    return tree
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_matching_of_wide_trees_is_the_largest(seed):
+    rng = random.Random(seed)
+    a, b = wide_tree(rng, 45), wide_tree(rng, 40)
+    got = html_extract.match_trees(a, b)
+    check_matching(a, b, got)
+    assert len(got) == plain_matching(a, b)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_bounds_of_memory_leave_the_matching_as_it_is(seed):
+    rng = random.Random(seed)
+    a, b = (wide_tree(rng, rng.randrange(60), "abc") for _ in "ab")
+    got = html_extract.match_trees(a, b)
+    for limits in ({"cells": 0}, {"cells": 50}, {"pairs": 0}, {"cells": 9, "pairs": 3}):
+        assert html_extract.match_trees(a, b, **limits) == got
+
+
+@pytest.mark.parametrize("n", [5, 31, 40])
+def test_a_notice_after_a_list_of_any_length_is_template(spark, n):
+    pages, expected = [], []
+    for i in range(12):
+        own = [words(n, i, k, n=8) for k in range(n + i % 3 // 2)]
+        pages.append(("list.example", "<body>" + "".join(f"<div class=x>{t}</div>" for t in own) + "<div class=x>Read on<div class=y>Our site is yours.</div></div><div class=z>" + words(n, i, n=9) + "</div>"))
+        expected.append("\n".join([*own, words(n, i, n=9)]))
+        if i % 2:
+            # The last list item has a box below too, so that nothing at the end is of one shape.
+            pages[-1] = (pages[-1][0], pages[-1][1].replace("</div><div class=z>", "<div class=w>" + words(i, n, n=7) + "</div></div><div class=z>"))
+            expected[-1] = "\n".join([*own, words(i, n, n=7), words(n, i, n=9)])
+    assert texts(spark, pages) == expected
+
+
 @pytest.mark.parametrize("inner", ["<p>{}</p>", "<div class=y><span>{}</span><div class=z>{}</div></div>"])
 def test_wide_pages_in_bounded_time_and_memory(inner):
     import time
