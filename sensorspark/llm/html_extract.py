@@ -310,12 +310,13 @@ class TreePair:
         places: dict[tuple[int, int], int] = {}
         for i, node in enumerate(nodes):
             # Roots meet whatever their labels.
-            key = (path[node[0]], node[1]) if i else (-1, "")
-            path[i] = paths.setdefault(key, len(paths))
-            held = first.setdefault(path[i], [])
-            place[i] = places.setdefault((path[i], shape[i]), len(held))
-            if place[i] == len(held):
+            p = path[i] = paths.setdefault((path[node[0]], node[1]) if i else (-1, ""), len(paths))
+            known = places.get((p, shape[i]))
+            if known is None:
+                held = first.setdefault(p, [])
+                known = places[p, shape[i]] = len(held)
                 held.append(i)
+            place[i] = known
         return path, place, first
 
     def _columns(self, siblings: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -382,11 +383,13 @@ class TreePair:
         """The pairs of children in the largest matching below a pair of nodes; of equally large ones
         that with the latest children."""
         m, n = self.below_a[x], self.below_b[y]
+        if not m or not n:
+            return []
         if self.shape_a[x] == self.shape_b[y]:
             return list(zip(m, n, strict=True))
         # A pair of one shape at the end is never worse than another.
-        same = 0
-        while same < min(len(m), len(n)) and self.shape_a[m[-1 - same]] == self.shape_b[n[-1 - same]]:
+        same, least = 0, min(len(m), len(n))
+        while same < least and self.shape_a[m[-1 - same]] == self.shape_b[n[-1 - same]]:
             same += 1
         kept = list(zip(m[len(m) - same :], n[len(n) - same :], strict=True))
         m, n = m[: len(m) - same], n[: len(n) - same]
@@ -421,8 +424,7 @@ class TreePair:
             while i > begin and j:
                 x, y, here, above = m[i - 1], n[j - 1], rows[i - begin], rows[i - begin - 1]
                 p = self.path_a[x]
-                s = int(self.tables[p][self.place_a[x], self.place_b[y]]) if p == self.path_b[y] else 0
-                if s and here[j] == above[j - 1] + s:
+                if p == self.path_b[y] and here[j] == above[j - 1] + self.tables[p][self.place_a[x], self.place_b[y]]:
                     kept.append((x, y))
                     i, j = i - 1, j - 1
                 elif here[j] == above[j]:
