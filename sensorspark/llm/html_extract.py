@@ -574,6 +574,20 @@ def extract(source: str | None, wrapper: tuple[list, dict] | None) -> str:
     return "\n".join(text for text, _ in own_blocks(page, nodes))
 
 
+#: Wrappers that a task keeps parsed at most, and the characters of their JSON together; parsed ones take some six times as many bytes.
+KEPT, KEPT_CHARS = 256, 1 << 22
+
+
+def parsed(wrapper: str | None, known: dict[str, tuple], chars: int = KEPT_CHARS) -> tuple[list, dict] | None:
+    """A wrapper from its JSON. ``known`` keeps parsed ones for later rows, up to ``KEPT`` and ``chars``; one
+    that is larger by itself stays until the next."""
+    if wrapper is not None and wrapper not in known:
+        if len(known) >= KEPT or sum(map(len, known)) + len(wrapper) > chars:
+            known.clear()
+        known[wrapper] = tuple(json.loads(wrapper))
+    return known.get(wrapper)
+
+
 def own_blocks(page: Page, nodes: list) -> list[tuple[str, int]]:
     """The main blocks of a page by its own tree."""
     chosen = choose(nodes, [float(x[3]) for x in nodes], [float(x[5]) for x in nodes], [False] * len(nodes))
@@ -702,11 +716,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for source, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if wrapper is not None and wrapper not in known:
-                    if len(known) >= 256:
-                        known.clear()
-                    known[wrapper] = tuple(json.loads(wrapper))
-                texts.append(extract(source, known.get(wrapper)))
+                texts.append(extract(source, parsed(wrapper, known)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(read, "page_id long, url string, text string")

@@ -190,6 +190,27 @@ def test_wide_pages_in_bounded_time_and_memory(inner):
     assert html_extract.extract("<body><article>" + body + "</article>", None).count("\n") + 1 >= 20_000
 
 
+def test_wrappers_of_many_hosts_in_bounded_memory():
+    import json
+    import tracemalloc
+
+    one = json.dumps([[[-1, "page", 0, 0, 0, 0], *([0, "div.h", 0, 10, i << 30, 0] for i in range(5_000))], {"mark": "", "slots": [0]}])
+    known: dict = {}
+    tracemalloc.start()
+    for host in [*range(60), 3, 59, 3]:
+        nodes, chosen = html_extract.parsed(one.replace("div.h", f"div.h{host}"), known)
+        assert len(nodes) == 5_001 and nodes[-1][1] == f"div.h{host}" and chosen["slots"] == [0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    # Small ones stay, a large one stands alone, no host has none.
+    known.clear()
+    small = ["[[], {}]", "[[0], {}]", "[[1], {}]"]
+    assert [html_extract.parsed(x, known, 20) for x in small] == [([], {}), ([0], {}), ([1], {})] and list(known) == small[2:]
+    assert html_extract.parsed("[[1, 2, 3, 4, 5, 6], {}]", known, 20) == ([1, 2, 3, 4, 5, 6], {}) and len(known) == 1
+    assert html_extract.parsed(None, known) is None
+
+
 @pytest.mark.parametrize("tag", ["b", "p", "a href=x", "object", "li", "div", "select"])
 def test_unclosed_tags_in_linear_time(tag):
     import time
