@@ -104,6 +104,19 @@ def wide(spark):
     return Pipeline(stages=stages).fit(df).transform(df).localCheckpoint()
 
 
+def test_a_column_for_each_sensor(spark, wide, tmp_path):
+    """Spark's forest has a histogram of 2,001 features for every node."""
+    vectors = VectorAssembler(inputCols=["x", "hot"], outputCol="features").transform(wide)
+    model = SparseForestRegressor(featureSubsetStrategy="all", labelCol="count", numTrees=4, maxDepth=12, seed=1).fit(vectors)
+    assert isinstance(model, SparseForestModel) and model.numFeatures == 2001 and model.getNumTrees == 4
+    shares = model.featureImportances.toArray()
+    assert shares.sum() == pytest.approx(1) and (shares > 0).sum() > 10 and shares.argmax() == 0
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = SparseForestModel.load(str(tmp_path / "m"))
+    both = model.transform(vectors).withColumnRenamed("prediction", "a")
+    assert again.transform(both).where("a <> prediction OR a IS NULL").count() == 0
+
+
 def test_a_label_for_each_sensor(wide, monkeypatch):
     vectors = VectorAssembler(inputCols=["x", "label"], outputCol="features").transform(wide)
     options = {"featureSubsetStrategy": "all", "labelCol": "count", "numTrees": 5, "maxDepth": 10, "seed": 1, "maxBins": 2001}
