@@ -25,7 +25,7 @@ from catalog.base import (
 from catalog.learning import fitted
 from catalog.monitoring import HIST, LATEST, _evaluated, evaluations
 from sensorspark.operators.metrics import alert_rules
-from sensorspark.session import scratch_path
+from sensorspark.session import scratch_path, via_table
 from sensorspark.streaming.alerts import latest_alerts, str_alert_for
 from sensorspark.streaming.days import read_days
 from sensorspark.streaming.flows import (
@@ -186,5 +186,7 @@ def late_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts, checkpoint = scratch_path(spark, "alerts"), scratch_path(spark, "checkpoint")
     rules = alert_rules(spark)
-    in_parts(spark, evaluations(spark, sf_dir), "ts", lambda s: str_alert_for(s, rules, alerts, checkpoint))
+    # Made once, not anew for each arrival.
+    found = via_table(evaluations(spark, sf_dir), "evaluations")
+    in_parts(spark, found, "ts", lambda s: str_alert_for(s, rules, alerts, checkpoint))
     return latest_alerts(spark, alerts)
