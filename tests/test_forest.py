@@ -135,6 +135,17 @@ def test_a_label_for_each_sensor(wide, monkeypatch):
         SparseForestRegressor(**{**options, "maxBins": 100}).fit(vectors)
 
 
+def test_equal_rows_are_stored_once(wide):
+    """What a fit holds follows the different rows, not their number."""
+    vectors = VectorAssembler(inputCols=["x", "label"], outputCol="features").transform(wide)
+    layout = Layout(2, [0, 1], [0, 2001], [[float(v) for v in range(16)], []])
+    rows = vectors.select(F.unwrap_udt("features").alias("v"), F.col("count").alias("y"))
+    once = SparseForestRegressor._cells(rows, layout)
+    many = SparseForestRegressor._cells(rows.unionAll(rows).unionAll(rows), layout)
+    assert once.count() == many.count() == wide.select("sensor", "x").distinct().count()
+    assert many.agg(F.sum("n")).first()[0] == 3 * once.agg(F.sum("n")).first()[0] == 3 * 12_000
+
+
 def test_thresholds_beyond_what_the_driver_takes(spark, monkeypatch):
     df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(3000).select(F.col("id").cast("double").alias("x"), (F.col("id") > 1400).cast("double").alias("count")))
     monkeypatch.setattr(forest, "MOST_VALUES", 100)
