@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -146,6 +147,20 @@ def test_equal_rows_are_stored_once(wide):
     assert many.agg(F.sum("n")).first()[0] == 3 * once.agg(F.sum("n")).first()[0] == 3 * 12_000
 
 
+def test_vectors_are_made_once(spark, wide):
+    """However many passes a fit makes over them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = wide.select("x", "count").mapInArrow(counted, "x double, count double")
+    model = SparseForestRegressor(featureSubsetStrategy="all", labelCol="count", numTrees=2, maxDepth=3).fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(df))
+    assert model.getNumTrees == 2 and seen.value == 12_000
+
+
 def test_thresholds_beyond_what_the_driver_takes(spark, monkeypatch):
     df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(3000).select(F.col("id").cast("double").alias("x"), (F.col("id") > 1400).cast("double").alias("count")))
     monkeypatch.setattr(forest, "MOST_VALUES", 100)
@@ -161,6 +176,17 @@ def test_null_labels_fail(spark):
         SparseForestRegressor(featureSubsetStrategy="all", labelCol="count").fit(df)
 
 
+def test_null_vectors_and_labels_fail_as_they_are_read(spark):
+    rows = [(1.0, 1.0), (2.0, 2.0)]
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "x double, count double"))
+    options = {"featureSubsetStrategy": "all", "labelCol": "count", "numTrees": 1}
+    with pytest.raises(SparkRuntimeException, match="USER_RAISED_EXCEPTION.*Labels"):
+        SparseForestRegressor(**options).fit(df.withColumn("count", F.when(F.col("x") > 1, F.col("count"))))
+    missing = F.when(F.col("x") > 1, F.col("features")).alias("features", metadata=df.schema["features"].metadata)
+    with pytest.raises(Exception, match="Vectors MUST NOT be Null"):
+        SparseForestRegressor(**options).fit(df.select("x", "count", missing))
+
+
 def test_other_options_stay_with_spark(wide):
     vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(wide)
     model = SparseForestRegressor(featureSubsetStrategy="onethird", labelCol="count", numTrees=2, maxDepth=2).fit(vectors)
