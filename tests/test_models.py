@@ -4,7 +4,7 @@ import json
 
 import pandas as pd
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -168,6 +168,49 @@ def test_train_window(readings):
     assert not ml_train_window(readings, None, est).sliding_window
 
 
+def counting(spark, df):
+    """The frame, and how many of its rows have been read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+def test_a_fit_reads_its_input_once(spark, readings):
+    df, seen = counting(spark, readings)
+    assert ml_rf_regressor(num_trees=2, max_depth=3).fit(df).stages[-1].getNumTrees == 2 and seen.value == 1200
+    df, seen = counting(spark, readings)
+    assert not ml_train_window(df, None, ml_rf_regressor(num_trees=2, max_depth=3)).sliding_window and seen.value == 1200
+
+
+def test_stored_rows_give_the_chain_of_plain_ones(readings):
+    """Sensors that are null, rows that come twice; columns that nothing reads may be there. One partition,
+    as the order of rows decides the last bits of means."""
+    odd = readings.withColumn("sensor_id", F.when(F.col("sensor_id") != "C", F.col("sensor_id"))).withColumn("other", F.lit("x"))
+    odd = odd.unionAll(odd.where("count > 60")).coalesce(1)
+    for options in ({}, {"sensor_as": "one_hot"}, {"with_sensor": False}):
+        chain = ml_rf_regressor(num_trees=3, max_depth=4, **options)
+        was = Pipeline(stages=chain.getStages()).fit(odd).transform(odd)
+        now = chain.fit(odd).transform(odd)
+        assert now.columns == was.columns
+        keys = ["sensor_id", "reading_ts", "count", F.round("prediction", 6)]
+        assert was.select(*keys).exceptAll(now.select(*keys)).count() == 0 and now.count() == was.count() > 1200
+    with pytest.raises(Exception):
+        chain.fit(odd.limit(0))
+
+
+def test_train_window_counts_current_rows(readings):
+    est = ml_rf_regressor(num_trees=2, max_depth=3)
+    out = ml_train_window(readings, readings.where("sensor_id <> 'C'"), est)
+    assert out.n_current == out.train.count() - 1200 > 0
+    assert ml_train_window(readings, readings.limit(5), est, min_rows=MIN_CURRENT_ROWS).n_current == 0
+    assert ml_train_window(readings, None, est).n_current == 0
+
+
 def test_one_hot_and_z_scores(frame):
     df = frame([("a", 1.0), ("b", 3.0)], "k string, v double")
     got = ml_one_hot(frame([("b", 0.0), ("z", 0.0)], "k string, v double"), ["k"], fit_on=df)
