@@ -45,6 +45,11 @@ def test_encoding_out_of_fold_and_whole(rows):
     assert ml_target_encode(rows, fit_on=rows.limit(0), keyCols=["k"]).first().sensor_mean == 0.0
 
 
+def test_a_fold_is_hashed_once_for_each_row(rows):
+    plan = ml_target_encode(rows, keyCols=["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
 def test_a_chain_is_fitted_out_of_fold_and_saved_with_its_table(rows, tmp_path):
     chain = Pipeline(stages=[TargetEncoding(keyCols=["k"], folds=3, smoothing=2.0), VectorAssembler(inputCols=["sensor_mean"], outputCol="features")])
     fitted = chain.fit(rows)
